@@ -14,9 +14,11 @@ import re
 import numpy as np
 
 #: Pieces in each of the two generations that one process remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longer pieces are encoded each time they occur.
 LONG_PIECE = 48
+#: Pieces that are joined to one text; the library takes longer over long texts.
+JOINED = 500
 
 _ODD_SPACE = re.compile(" (?:[\\s᠎]|$)")
 _CUT = re.compile(" (?=[^\\s᠎])")
@@ -42,7 +44,8 @@ class Encoder:
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Each piece as if a space stood before it."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
+        texts = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         ends = np.cumsum(self.byte_length[ids])
         wanted = np.cumsum([len(p.encode()) + 1 for p in pieces])
         cuts = np.searchsorted(ends, wanted) + 1
@@ -69,7 +72,7 @@ class Encoder:
         if wanted:
             new = list(wanted)
             known.update(zip(new, self._encode_pieces(new), strict=True))
-        firsts = self.tokenizer.encode_batch([pieces[0] for pieces in cut], add_special_tokens=False)
+        firsts = self.tokenizer.encode_batch_fast([pieces[0] for pieces in cut], add_special_tokens=False)
         get = known.__getitem__
         out = [np.array(f.ids, "<u4").tobytes() + b"".join(map(get, pieces[1:])) for f, pieces in zip(firsts, cut, strict=True)]
         for piece in wanted:
