@@ -126,17 +126,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents that stay, with all their columns."""
     found = build(docs, id_col, text_col).result()
     gone = materialise(
-        found.where("_row != keep_row").groupBy(F.col("_id").alias("_gone_id"), F.col("sha").alias("_gone_sha")).agg(F.max(F.expr("_id <=> keep_id")).alias("_again")),
+        found.where("_row != keep_row").groupBy(F.col("_id").alias("__gone_id"), F.col("sha").alias("__gone_sha")).agg(F.max(F.expr("_id <=> keep_id")).alias("_again")),
         "dedup-gone",
     )
     digest = F.unhex(F.sha2(normalised(text_col), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha"))
-    marked = docs.withColumn("_sha", digest)
-    kept = marked.join(small(gone), same, "left_anti").drop("_sha")
+    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.col("__sha") == F.col("__gone_sha"))
+    marked = docs.withColumn("__sha", digest)
+    kept = marked.join(small(gone), same, "left_anti").drop("__sha")
     again = gone.where("_again")
     if again.isEmpty():
         return kept
     # Rows that repeat both id and text: one of each stays.
     repeated = marked.join(small(again), same, "left_semi")
-    one = repeated.groupBy(id_col, "_sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_one")).select("_one.*")
+    one = repeated.groupBy(id_col, "__sha").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__one")).select("__one.*")
     return kept.unionByName(one)
