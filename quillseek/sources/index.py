@@ -8,6 +8,8 @@ blank strings have no row.  Ordinals are stored, so they don't depend on how a t
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -38,6 +40,16 @@ def with_ordinals(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     return joined.withColumn(ORDINAL, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillseek-")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+
+
 def is_string_list(df: DataFrame, keys: Sequence) -> bool:
     columns = [f for f in df.schema.fields if f.name != ORDINAL]
     return not keys and len(columns) == 1 and isinstance(columns[0].dataType, T.StringType)
