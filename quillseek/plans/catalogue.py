@@ -75,7 +75,7 @@ def _fuzzy() -> None:
     search("fuzzy_find_all", "part", [NAME], "gizmo", None, find_all_matches=True)
     search("fuzzy_min_match_length", "part", [NAME], "old anvil", None, min_match_char_length=3, ignore_location=True)
     # Long patterns: with threshold 0 each part of 32 units is there or not; the score is the mean of 0.001 and 1.
-    long = "than heoron eratsh therin blees sh in esheon erstlyat"
+    long = "eaea ndorea as erthndly edst threeain for heed"
     parts = [long[:32], long[-32:]]
     there = [f"contains(f, {sql.quoted(p)})" for p in parts]
     mean = f"(CASE WHEN {' OR '.join(there)} THEN ({' + '.join(f'CASE WHEN {t} THEN 0.001 ELSE 1.0 END' for t in there)})::DOUBLE / {len(parts)} END)"

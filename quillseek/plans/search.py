@@ -30,10 +30,12 @@ from quillseek.plans.matching import (
     searcher_for,
 )
 from quillseek.sources.index import ORDINAL, Index
-from quillseek.sources.keys import Key, normalised
+from quillseek.sources.keys import Key, normalised, parse_keys
 
 #: The base of an exact match's score where a key has a weight.
 EPSILON = 2.0**-52
+#: Bytes, by the optimizer's estimate, up to which a table is dealt out to all cores before the kernel.
+SMALL_TABLE = 128 << 20
 MATCH = f"array<struct<indices: {RANGES}, key: string, ref_index: int, value: string>>"
 
 
@@ -106,10 +108,13 @@ class Collection:
             found = found.orderBy("score", ORDINAL)
         return (found.limit(limit) if limit > -1 else found).select(*columns)
 
-    def matches(self, query: str | dict) -> DataFrame:
-        """All records that match, in no order: item, ref_index, score and, if wanted, matches."""
+    def matches(self, query: str | dict, statistics: Collection | None = None) -> DataFrame:
+        """All records that match, in no order: item, ref_index, score and, if wanted, matches.
+
+        statistics: a collection to take the frequencies of words from, instead of this one.
+        """
         if isinstance(query, str):
-            return self._text_query(query)
+            return self._text_query(query, statistics or self)
         return self._logical_query(query)
 
     def statistics(self, words: Sequence[str]) -> tuple[int, dict[str, int]]:
@@ -131,17 +136,11 @@ class Collection:
         """The index's keys with the options' weights; a key that the options lack keeps its own."""
         if self.index.strings:
             return [None]
-        own = {k.id: k for k in normalised(Collection._parsed(self.options.keys))} if self.options.keys else {}
+        own = {k.id: k for k in normalised(parse_keys(self.options.keys))} if self.options.keys else {}
         return [replace(k, weight=own[k.id].weight) if k.id in own else k for k in self.index.keys]
 
-    @staticmethod
-    def _parsed(keys) -> list[Key]:
-        from quillseek.sources.keys import parse_keys
-
-        return parse_keys(keys)
-
-    def _text_query(self, query: str) -> DataFrame:
-        searcher = searcher_for(query, self.options, self.statistics)
+    def _text_query(self, query: str, corpus: Collection) -> DataFrame:
+        searcher = searcher_for(query, self.options, corpus.statistics)
         keys = self._keys()
         index = self.index
         if not self.options.ignore_diacritics:
@@ -261,9 +260,10 @@ class Collection:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Small tables are often one partition, which would keep the kernel on one core."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+    """A small table is often one partition, which would keep the kernel on one core; larger ones stay as they are read."""
+    if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def fuzzy_match(column: Column, pattern: str, options: Options | None = None, **changes) -> Column:

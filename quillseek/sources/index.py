@@ -126,15 +126,18 @@ class Index:
 
     def save(self, path: str) -> None:
         """Write the records as Parquet and the keys beside them."""
-        spark = self.frame.sparkSession
         self.frame.write.mode("overwrite").parquet(f"{path}/records")
+        self.save_keys(path)
+
+    def save_keys(self, path: str) -> None:
+        spark = self.frame.sparkSession
         spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/keys")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """An index as it was saved; norms are taken as stored."""
         meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/keys").collect()))
-        return cls.parse(spark.read.parquet(f"{path}/records"), meta)
+        return cls.parse(spark.read.parquet(f"{path}/records").drop("batch"), meta)
 
     @classmethod
     def parse(cls, frame: DataFrame, meta: dict) -> Index:
