@@ -17,7 +17,6 @@ an empty table gives an empty result; `apply` keeps all columns, whatever their
 from __future__ import annotations
 
 from dataclasses import dataclass
-from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from quillseek.llm._shared import WORD, materialise, small
 HASH_BITS = 60
 LEVEL_BITS = 10
 WEIGHTS = (3, 1, 2)
-BUDGET = Fraction(3, 2)
+BUDGET = 1.5
 MOST = 2
 
 
@@ -42,16 +41,15 @@ def hash_of(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def targets(sizes: list[int], weights: list[int], budget: Fraction = BUDGET, most: int = MOST) -> list[float]:
+def targets(sizes: list[int], weights: list[int], budget: float = BUDGET, most: int = MOST) -> list[float]:
     """Shares of budget * sum(sizes) by weight, none above `most` times its source; the excess goes to the others by weight."""
     total, full = budget * sum(sizes), set()
     while True:
         open_weight = sum(w for i, w in enumerate(weights) if i not in full)
-        left = total - sum(most * sizes[i] for i in full)
-        level = left / open_weight if open_weight else Fraction(0)
+        level = (total - sum(most * sizes[i] for i in full)) / open_weight if open_weight else 0.0
         above = {i for i in range(len(sizes)) if i not in full and level * weights[i] > most * sizes[i]}
         if not above:
-            return [float(most * sizes[i]) if i in full else float(level * weights[i]) for i in range(len(sizes))]
+            return [float(most * n) if i in full else level * weights[i] for i, n in enumerate(sizes)]
         full |= above
 
 
@@ -117,7 +115,7 @@ class Mix:
         return self.keys.join(small(self.plan), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: Fraction = BUDGET) -> Mix:
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> Mix:
     """docs: doc_id, text, source."""
     spark = docs.sparkSession
     keys = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix-keys")
@@ -130,7 +128,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: Fraction =
     return Mix(keys, _state(spark, searches, columns, lambda s: (s.source, s.size, s.target, s.base, s.threshold)))
 
 
-def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: Fraction = BUDGET) -> DataFrame:
+def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them."""
     mix = plan(docs, weights, budget)
     rule = mix.plan.select(F.col("s").alias("__s"), F.col("base").alias("__base"), F.col("threshold").alias("__threshold"))
