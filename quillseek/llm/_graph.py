@@ -60,10 +60,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """edges: a, b of one type, any direction, repeats allowed.  Returns node, component (the smallest node of its
-    component) for every node that has an edge to another one."""
-    now = materialise(contract(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), "edges")
+    component) for every node that has an edge to another one.  contracted: each task's edges are a forest already."""
+    ordered = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialise((ordered if contracted else contract(ordered)).distinct(), "edges")
     for _ in range(max_rounds):
         n, check = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not n:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word, as the contracts of the corpus queries define it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that are turned into Python strings at once, and rows that Spark sends at once.
+SLICE_ROWS = 256
+BATCH_ROWS = 512
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -82,3 +89,24 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
 def ascii_lower(column):
     """A-Z lower-cased, nothing else changed."""
     return F.translate(column, UPPER, LOWER)
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While it lasts, Spark sends few rows at once to Python: texts can be long, and both sides hold a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Small pieces of the batches with their texts; null texts are empty."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            yield part, [t or "" for t in part.column("text").to_pylist()]
+    pa.default_memory_pool().release_unused()

@@ -23,18 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm._graph import _forest, components
-from quillseek.llm._shared import join_hot, materialise, small
+from quillseek.llm._shared import join_hot, materialise, slices, small, small_batches
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 #: Rows of a cell that are compared all at once; larger cells are searched breadth-first.
 SMALL_CELL = 64
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 
 
 def _shingle_digests(text: str, width: int) -> bytes:
@@ -70,24 +71,24 @@ def fingerprints_of(texts: list[str], width: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint_partition(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
             found, start, chars = [], 0, 0
             for i, t in enumerate(texts):
                 chars += len(t)
                 if chars >= BATCH_CHARS or i + 1 == len(texts):
                     found.append(fingerprints_of(texts[start : i + 1], width))
                     start, chars = i + 1, 0
-            fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            prints = pa.array(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints], ["doc_id", "fp"])
 
     return run
 
 
 def fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (a signed long with the fingerprint's bits)."""
-    return docs.select("doc_id", "text").mapInPandas(_fingerprint_partition(width), "doc_id long, fp long")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return ids.mapInArrow(_fingerprint_partition(width), "doc_id long, fp long")
 
 
 def _cells(distinct: DataFrame) -> DataFrame:
@@ -172,10 +173,11 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id, group_size."""
-    prints = materialise(fingerprint(docs, width), "fingerprints")
+    with small_batches(docs.sparkSession):
+        prints = materialise(fingerprint(docs, width), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "distinct-prints")
     total = prints.count()
-    comp = components(links(distinct.select("fp"), max_bits))
+    comp = components(links(distinct.select("fp"), max_bits), contracted=True)
     linked = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     linked = materialise(linked, "linked-prints")
     ids = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("prints"))
