@@ -7,8 +7,9 @@ a sort with a limit.  Nothing is shuffled but the result's order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -142,12 +143,7 @@ class Collection:
     def _text_query(self, query: str, corpus: Collection) -> DataFrame:
         searcher = searcher_for(query, self.options, corpus.statistics)
         keys = self._keys()
-        index = self.index
-        if not self.options.ignore_diacritics:
-            condition = searcher.holds(F.lit(""))
-            if condition is not None:
-                fold = (lambda c: c) if self.options.is_case_sensitive else F.lower
-                index = index.narrowed(lambda c: searcher.holds(fold(c)))
+        index = self._narrowed(lambda columns: _any_of([self._condition(searcher, c) for c in columns]))
         rows = self._with_hits(index, [searcher])
         part = _Part(searcher, 0)
         found = [self._found(part, i, k) for i, k in enumerate(keys)]
@@ -180,7 +176,18 @@ class Collection:
         for s in searchers:
             parts.append(_Part(s, first))
             first += len(s.fuzzy)
-        rows = self._with_hits(self.index, searchers)
+        conditions = iter([(leaf, s) for leaf, s in zip(leaves, searchers, strict=True)])
+
+        def narrow(plain: list[Column | None]) -> Column | None:
+            def one(_: logical.Leaf) -> Column | None:
+                leaf, searcher = next(conditions)
+                if leaf.key is None:
+                    return _any_of([self._condition(searcher, c) for c in plain])
+                return self._condition(searcher, plain[place[leaf.key]]) if leaf.key in place else F.lit(False)
+
+            return logical.fold_tree(tree, one, _all_of, _any_of)
+
+        rows = self._with_hits(self._narrowed(narrow), searchers)
         columns: list[list[str]] = []
         found: list[Column] = []
         for n, (leaf, part) in enumerate(zip(leaves, parts, strict=True)):
@@ -212,6 +219,18 @@ class Collection:
         pooled = logical.fold_tree(tree, leaf_matches, all_of, some_of)
         return self._scored(rows.select("item", ORDINAL, pooled.alias("found")).where(F.size("found") > 0))
 
+    def _condition(self, searcher: Searcher, column: Column | None) -> Column | None:
+        """What a plain column's text must satisfy for the searcher to match it; None if that can't be said."""
+        if column is None or self.options.ignore_diacritics:
+            return None
+        return searcher.holds(column if self.options.is_case_sensitive else F.lower(column))
+
+    def _narrowed(self, condition_of: Callable[[list[Column | None]], Column | None]) -> Index:
+        """The index without rows of which the source's columns say that they can't match."""
+        plain = self.index.plain_columns()
+        condition = condition_of(plain) if any(c is not None for c in plain) else None
+        return self.index if condition is None else self.index.where(condition)
+
     def _leaf_searcher(self, leaf: logical.Leaf) -> Searcher:
         if isinstance(leaf.query, str):
             return searcher_for(leaf.query, self.options)
@@ -259,6 +278,21 @@ class Collection:
         return rows.select("item", ORDINAL, score, reports.alias("matches"))
 
 
+def _any_of(conditions: list[Column | None]) -> Column | None:
+    """A disjunction; unknown if one of the conditions is."""
+    if any(c is None for c in conditions):
+        return None
+    return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
+
+
+def _all_of(conditions: list[Column | None]) -> Column | None:
+    """A conjunction of those conditions that are known; false if there are none at all."""
+    known = [c for c in conditions if c is not None]
+    if not conditions:
+        return F.lit(False)
+    return reduce(lambda a, b: a & b, known) if known else None
+
+
 def _spread(rows: DataFrame) -> DataFrame:
     """A small table is often one partition, which would keep the kernel on one core; larger ones stay as they are read."""
     if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:

@@ -86,18 +86,16 @@ class Index:
     def width(self) -> int:
         return 1 if self.strings else len(self.keys)
 
-    def narrowed(self, predicate: Callable[[Column], Column]) -> Index:
-        """The index of the records of which some key's text satisfies predicate, if that can be said on the source's columns."""
+    def plain_columns(self) -> list[Column | None]:
+        """For each key the source's column that it searches, where a filter on it can be pushed down to a scan; none for stored indexes."""
         if self.source is None or self.get is not None:
-            return self
-        names = [c for c in self.source.columns if c != ORDINAL]
-        columns = [plain_column(self.source, k) for k in (self.keys or [Key((names[0],))])]
-        if not columns or any(c is None for c in columns):
-            return self
-        some = predicate(columns[0])
-        for c in columns[1:]:
-            some = some | predicate(c)
-        kept = self.source.where(some)
+            return [None] * self.width
+        own = self.keys or [Key((c,)) for c in self.source.columns if c != ORDINAL]
+        return [plain_column(self.source, k) for k in own]
+
+    def where(self, condition: Column) -> Index:
+        """The index of the source's rows that satisfy a condition on plain columns."""
+        kept = self.source.where(condition)
         return replace(self, frame=self._frame_of(kept, self.keys, self.strings, self.field_norm_weight, None), source=None)
 
     def records(self) -> DataFrame:

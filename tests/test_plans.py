@@ -35,6 +35,14 @@ def test_case_sensitive_operators_reach_the_scan(part):
     assert "StringStartsWith(p_brand,Brand#1)" in text and "StringContains(p_brand,nd#1)" in text
 
 
+def test_logical_queries_reach_the_scan(part):
+    one = Collection.of(part, keys=["p_name", "p_type"], is_case_sensitive=True)
+    text = plan(one.matches({"$and": [{"p_type": {"$eq": "PROMO"}}, {"$or": [{"p_name": {"$startsWith": "old"}}, {"p_name": {"$contains": "ring"}}]}]}))
+    assert "EqualTo(p_type,PROMO)" in text and "Or(StringStartsWith(p_name,old),StringContains(p_name," in text
+    text = plan(one.matches({"$and": [{"p_type": {"$eq": "PROMO"}}, {"p_name": "rng"}]}))
+    assert "EqualTo(p_type,PROMO)" in text and "PushedFilters" in text
+
+
 def test_only_searched_columns_are_read(part):
     text = plan(Collection.of(part, keys=["p_name"], include_score=True).matches("smal rng").select("ref_index", "score"))
     schema = text.partition("ReadSchema: ")[2].partition("\n")[0]
