@@ -1,14 +1,16 @@
 """A quality classifier by importance resampling.
 
 Two generative models over hashed words and word pairs are counted: a target model from documents labelled good and a raw
-model from all documents.  A document's importance weight is the log of the ratio of its probabilities under the
-two; adding Gumbel noise, fixed by the id, and keeping the k largest keys draws k documents without replacement
-in proportion to their weights (Gumbel top-k).  The raw counts cover every document; only the labelled rows may be a
-sample, of about MAX_LABELLED rows chosen by the hash of their ids.
+model from all documents.  A document's importance weight is the ratio of its probabilities under the two, taken per
+feature (long documents would otherwise outweigh the models' errors by their length) and sharpened by a temperature.
+Adding Gumbel noise, fixed by the id, and keeping the k largest keys draws k documents without replacement in
+proportion to their weights (Gumbel top-k).  The raw counts cover every document; only the labelled rows may be a sample, of
+about MAX_LABELLED rows chosen by the hash of their ids.
 
-How many documents to draw follows from the labels: k is the number of keys at or above a cut, and the cut is the one that
-separates the labelled keys best while letting through at least KEEP_GOOD of the good ones.  The k-th key is
-therefore a threshold and nothing is sorted; `top_k` finds the threshold of a given k by histograms.
+One half of the labelled ids makes the target model.  The other half, which the model hasn't seen, says how many
+documents to draw: k is the number of keys at or above a cut, and the cut is the one that separates the held-out
+keys best while letting through at least KEEP_GOOD of the good ones.  The k-th key is therefore a threshold and nothing
+is sorted; `top_k` finds the threshold of a given k by histograms.
 
 Defined results: a text without words (null, empty) has no evidence for or against it: weight 0; null ids share
 one noise; rows that repeat are scored alike; ids with contradicting labels count as unlabelled; without good labels every
@@ -20,74 +22,67 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm import _ngrams
-from quillseek.llm._shared import materialise, small
+from quillseek.llm._shared import materialise, slices, small, small_batches
 
 #: Buckets of the models: 2^BITS.
 BITS = 16
 MAX_LABELLED = 200_000
-KEEP_GOOD = 0.995
-#: Pseudo-counts of each bucket in both models.
-SMOOTHING = 1.0
+KEEP_GOOD = 0.998
+#: Pseudo-counts, seen and expected, that draw the ratio of a rare bucket towards 1.
+SMOOTHING = 4.0
+#: Features without evidence that every document is credited with: a few words decide little.
+NEUTRAL = 8
+#: Log ratios per feature are divided by this before noise is added.
+TEMPERATURE = 0.005
 SEED = 20_240
-BATCH_CHARS = 1_000_000
-
-
-def _batches(texts: list[str]):
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t)
-        if chars >= BATCH_CHARS or i + 1 == len(texts):
-            yield start, i + 1
-            start, chars = i + 1, 0
 
 
 def _count_partition(bits: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            good = frame["good"].fillna(0).to_numpy(bool)
-            for a, b in _batches(texts):
-                buckets, counts = _ngrams.features(texts[a:b], bits)
-                raw += np.bincount(buckets, minlength=1 << bits)
-                if good[a:b].any():
-                    target += np.bincount(buckets[np.repeat(good[a:b], counts)], minlength=1 << bits)
+        for part, texts in slices(batches):
+            good = np.array([g == 1 and f for g, f in zip(part.column("good").to_pylist(), part.column("fit").to_pylist(), strict=True)])
+            buckets, counts = _ngrams.features(texts, bits)
+            raw += np.bincount(buckets, minlength=1 << bits)
+            if good.any():
+                target += np.bincount(buckets[np.repeat(good, counts)], minlength=1 << bits)
         seen = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": seen, "raw": raw[seen], "target": target[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
     return run
 
 
 def _score_partition(ratios, bits: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratios.value
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            weight, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for a, b in _batches(texts):
-                buckets, counts = _ngrams.features(texts[a:b], bits)
-                some = np.flatnonzero(counts)
-                if len(some):
-                    weight[a + some] = np.add.reduceat(table[buckets], np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
-                n[a:b] = counts
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "good": frame["good"].astype("Int32"), "weight": weight, "n_features": n})
+        for part, texts in slices(batches):
+            weight = np.zeros(len(texts))
+            buckets, counts = _ngrams.features(texts, bits)
+            some = np.flatnonzero(counts)
+            if len(some):
+                weight[some] = np.add.reduceat(table[buckets], np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
+            columns = [part.column("doc_id"), part.column("good"), part.column("fit"), pa.array(weight / (counts + NEUTRAL)), pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "fit", "weight", "n_features"])
 
     return run
 
 
 def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, good (0 or 1): at most about `most` labelled ids, chosen by hash; contradicting labels are left out."""
+    """doc_id, good (0 or 1), fit: at most about `most` labelled ids, chosen by hash; contradicting labels are left out.
+
+    fit: whether the id is in the half that makes the model.
+    """
     per_id = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("good"))
     per_id = per_id.where("low = good").select("doc_id", F.col("good").cast("int").alias("good"))
     n = per_id.count()
     if n > most:
         per_id = per_id.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    return materialise(per_id, "labelled")
+    return materialise(per_id.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)) == 0), "labelled")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -97,34 +92,33 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def log_ratios(docs: DataFrame, bits: int = BITS) -> np.ndarray | None:
-    """Log of target over raw probability by bucket; None without target documents.  docs: text, good."""
-    counted = docs.select("text", "good").mapInPandas(_count_partition(bits), "bucket int, raw long, target long")
+    """Log of target over raw probability by bucket; None without target documents.  docs: text, good, fit."""
+    counted = docs.select("text", "good", "fit").mapInArrow(_count_partition(bits), "bucket int, raw long, target long")
     # 2^bits rows at most, whatever the input.
     model = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     if not len(model) or not model["target"].sum():
         return None
-    counts = np.zeros((2, 1 << bits))
-    counts[:, model["bucket"]] = model[["raw", "target"]].to_numpy().T
-    logs = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTHING * (1 << bits))
-    return logs[1] - logs[0]
+    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    raw[model["bucket"]], target[model["bucket"]] = model["raw"], model["target"]
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
 def score(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, good (the label or null), weight, n_features, key: the weight with its Gumbel noise."""
-    spark = docs.sparkSession
+    """doc_id, good and fit (or null), weight (log ratio per feature), n_features, key: the tempered weight with its Gumbel noise."""
     sample = labelled(labels)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left")
-    ratios = log_ratios(known, bits)
-    if ratios is None:
-        ratios = np.zeros(1 << bits)
-    held = spark.sparkContext.broadcast(ratios)
-    scored = known.select("doc_id", "text", "good").mapInPandas(_score_partition(held, bits), "doc_id long, good int, weight double, n_features long")
-    return materialise(scored.withColumn("key", F.col("weight") + noise(F.col("doc_id"))), "scored")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left")
+    with small_batches(docs.sparkSession):
+        ratios = log_ratios(known, bits)
+        held = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << bits) if ratios is None else ratios)
+        schema = "doc_id long, good int, fit boolean, weight double, n_features long"
+        scored = known.select("doc_id", "text", "good", "fit").mapInArrow(_score_partition(held, bits), schema)
+        return materialise(scored.withColumn("key", F.col("weight") / TEMPERATURE + noise(F.col("doc_id"))), "scored")
 
 
 def cut(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
-    """The key that separates labelled documents best, with at least keep_good of the good ones at or above it."""
-    known = scored.where("good IS NOT NULL").select("good", "key").toPandas()  # bounded by MAX_LABELLED
+    """The key that separates held-out documents best, with at least keep_good of the good ones at or above it."""
+    known = scored.where("NOT fit").select("good", "key").toPandas()  # bounded by MAX_LABELLED
     good, bad = np.sort(known.loc[known["good"] == 1, "key"].to_numpy()), np.sort(known.loc[known["good"] != 1, "key"].to_numpy())
     if not len(good) or not len(bad):
         return -np.inf
