@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Pieces in each of the two generations that one process remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Longer pieces are encoded each time they occur.
 LONG_PIECE = 48
 #: Pieces that are joined to one text; the library takes longer over long texts.

@@ -1,13 +1,13 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
 Each task encodes its documents, cuts those that are longer than a bin and packs the pieces as they come:
-the pieces wait in a short window, which is packed longest first, and a piece goes to the open bin with the least room that still holds it; if there is none and all bins
-are in use, the fullest closes.  The open bins are kept in one integer, a bitset whose bit r says that a bin
-with r free places is open, so a fit is two bit operations.
+the pieces wait in a short window, which is packed longest first, and a piece goes to the open bin with the least room
+that still holds it; if there is none and all bins are in use, the fullest closes.  The open bins are kept in one
+integer, a bitset whose bit r says that a bin with r free places is open, so a fit is two bit operations.
 
-Bins that are still open when a task ends are items themselves: rounds of the same algorithm over the open bins
-of FAN_IN tasks at a time merge them until one task has seen the last ones.  No task ever holds more than
-FAN_IN * open_bins of them.
+The pieces of bins that are still open when a task ends are packed again, together with those of FAN_IN tasks at a time,
+by the same algorithm, and so on until one task has seen the last ones.  What a task holds is bounded by FAN_IN,
+the number of open bins and the size of a bin.
 
 Defined results: a null text is empty and has only the end id; documents that repeat are packed as often as they
 occur; an empty table gives no rows; a document of more than `capacity` ids is cut into pieces of `capacity`, the
@@ -18,31 +18,32 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillseek.llm._shared import materialise, small
+from quillseek.llm._shared import materialise, slices, small_batches
 from quillseek.llm._tokens import batches, encoder
 
 OPEN_BINS = 4096
 FAN_IN = 16
 #: Pieces that wait to be packed, longest first; no more than OPEN_BINS, or full bins would close too early.
 WINDOW = 4096
-COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"]
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "open"]
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
 
 
 class BestFit:
-    """Bounded-space online best fit over bins of `capacity`."""
+    """Bounded-space online best fit over bins of `capacity`; `closed` has the bins that closed since it was last emptied."""
 
     def __init__(self, capacity: int, open_bins: int, first_id: int):
         self.capacity, self.open_bins, self.next_id = capacity, open_bins, first_id
         self.rooms = 0
         self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.n_open = 0
+        self.closed: list[int] = []
 
     def put(self, length: int) -> tuple[int, int]:
         """The bin and the place in it of an item of 1 to `capacity`."""
@@ -52,7 +53,7 @@ class BestFit:
             bin_id = self._take(room)
         else:
             if self.n_open >= self.open_bins:
-                self._take((self.rooms & -self.rooms).bit_length() - 1)  # the fullest closes
+                self.closed.append(self._take((self.rooms & -self.rooms).bit_length() - 1))  # the fullest
             room, bin_id = self.capacity, self.next_id
             self.next_id += 1
         left = room - length
@@ -60,6 +61,8 @@ class BestFit:
             self.by_room[left].append(bin_id)
             self.rooms |= 1 << left
             self.n_open += 1
+        else:
+            self.closed.append(bin_id)
         return bin_id, self.capacity - room
 
     def _take(self, room: int) -> int:
@@ -70,9 +73,25 @@ class BestFit:
             self.rooms &= ~(1 << room)
         return bin_id
 
-    def still_open(self) -> dict[int, int]:
-        """Bin to used places."""
-        return {b: self.capacity - room for room, bins in enumerate(self.by_room) for b in bins}
+
+class Packer:
+    """Packs windows of pieces (rows that begin with doc_id, piece, start, length and crc) and holds those of open bins."""
+
+    def __init__(self, capacity: int, open_bins: int, first_id: int):
+        self.fit = BestFit(capacity, open_bins, first_id)
+        self.held: dict[int, list[tuple]] = {}
+
+    def pack(self, window: list[tuple]) -> list[tuple]:
+        """The rows of the bins that close."""
+        for row in sorted(window, key=lambda p: -p[3]):
+            bin_id, place = self.fit.put(row[3])
+            self.held.setdefault(bin_id, []).append((*row[:5], bin_id, place))
+        out = [(*row, False) for b in self.fit.closed for row in self.held.pop(b)]
+        self.fit.closed.clear()
+        return out
+
+    def rest(self) -> list[tuple]:
+        return [(*row, True) for rows in self.held.values() for row in rows]
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,51 +102,39 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack_partition(vocabulary: str, end_id: int, capacity: int, open_bins: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        packer = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
+        packer = Packer(capacity, open_bins, TaskContext.get().partitionId() << 40)
         waiting: list[tuple] = []
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            ids = frame["doc_id"].array
+        for part, texts in slices(arrow):
+            ids = part.column("doc_id").to_pylist()
             for a, b in batches(texts):
                 for k, raw in enumerate(enc.encode(texts[a:b]), a):
                     raw += end
                     for n, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
                         waiting.append((ids[k], n, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
                         if len(waiting) >= WINDOW:
-                            yield _packed(packer, waiting)
+                            yield _batch(packer.pack(waiting))
                             waiting = []
-        yield _packed(packer, waiting)
-        left = packer.still_open()
-        yield _frame([(None, -1, -1, used, -1, b, -1) for b, used in left.items()])
+        yield _batch(packer.pack(waiting))
+        yield _batch(packer.rest())
 
     return run
 
 
-def _packed(packer: BestFit, waiting: list[tuple]) -> pd.DataFrame:
-    waiting.sort(key=lambda p: -p[3])
-    return _frame([(*p, *packer.put(p[3])) for p in waiting])
-
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
+    kinds = {"piece": pa.int32(), "open": pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(COLUMNS, columns, strict=True)], COLUMNS)
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64"})
 
-
-def _merge_bins(capacity: int, open_bins: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        (group,) = key
-        packer = BestFit(capacity, open_bins, (1 << 62) | group << 24)
-        frame = frame.sort_values(["used", "bin"], ascending=[False, True])
-        into, places = [], []
-        for used in frame["used"].tolist():
-            b, place = packer.put(used)
-            into.append(b)
-            places.append(place)
-        frame = frame.assign(into=into, place=places)
-        left = packer.still_open()
-        frame["last"] = frame["into"].map(left).fillna(0).astype("int64")
-        return frame[["bin", "into", "place", "last"]]
+def _merge(capacity: int, open_bins: int, level: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        packer = Packer(capacity, open_bins, level << 58 | key[0].as_py() << 30)
+        rows = list(zip(*(table.column(n).to_pylist() for n in COLUMNS), strict=True))
+        rows.sort(key=lambda r: (-r[3], r[5], r[6]))
+        done = packer.pack(rows)
+        return pa.Table.from_batches([_batch(done + packer.rest())])
 
     return run
 
@@ -137,45 +144,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
 
     docs needs doc_id and text.  `vocabulary` is the path of a tokenizer file that each executor can read.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"
-    rows = materialise(docs.select("doc_id", "text").mapInPandas(_pack_partition(vocabulary, end_id, capacity, open_bins), schema), "packed")
-    pieces = rows.where("piece >= 0")
-    moved = _merge_rounds(rows.where("piece = -1").select("bin", F.col("length").alias("used")), capacity, open_bins)
-    return (
-        pieces.join(small(moved), "bin", "left")
-        .select(
-            "doc_id", "piece", "start", "length", "ids_crc32",
-            F.coalesce("into", "bin").alias("sequence_id"),
-            (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"),
-        )
-    )
-
-
-def _merge_rounds(open_now: DataFrame, capacity: int, open_bins: int) -> DataFrame:
-    """bin, into, shift: where the bins that were open at the ends of their tasks go at last."""
-    groups = open_now.select(F.shiftright("bin", 40).alias("g"))
-    n = (groups.agg(F.max("g")).first()[0] or 0) + 1
-    current = open_now.withColumn("g", F.shiftright("bin", 40))
-    total, level = None, 0
+    with small_batches(docs.sparkSession):
+        rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack_partition(vocabulary, end_id, capacity, open_bins), SCHEMA), "packed")
+    done, current = rows.where("NOT open"), rows.where("open").withColumn("task", F.shiftright("bin", 40))
+    tasks, level = (current.agg(F.max("task")).first()[0] or 0) + 1, 0
     while True:
-        n = -(-n // FAN_IN)
-        # The group is numbered within its round and the round is part of the new bins' ids.
-        level += 1
-        step = materialise(
-            current.withColumn("g", F.expr(f"{level}L * {1 << 28}L + floor(g / {FAN_IN})"))
-            .groupBy("g")
-            .applyInPandas(_merge_bins(capacity, open_bins), "bin long, into long, place long, last long"),
-            f"bins-{level}",
-        ).withColumnRenamed("place", "shift")
-        if total is None:
-            total = step.select("bin", "into", "shift")
-        else:
-            later = step.select(F.col("bin").alias("into"), F.col("into").alias("to"), F.col("shift").alias("more"))
-            total = materialise(
-                total.join(later, "into", "left").select("bin", F.coalesce("to", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")),
-                f"moved-{level}",
-            )
-        if n <= 1:
-            return total
-        still = step.where("last > 0").groupBy("into").agg(F.max("last").alias("used"))
-        current = still.select(F.col("into").alias("bin"), "used", F.expr(f"shiftright(into & {(1 << 62) - 1}L, 24) - {level}L * {1 << 28}L").alias("g"))
+        level, tasks = level + 1, -(-tasks // FAN_IN)
+        merged = current.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("task").applyInArrow(_merge(capacity, open_bins, level), SCHEMA)
+        merged = materialise(merged, f"merged-{level}")
+        if tasks <= 1:
+            done = done.unionByName(merged)
+            break
+        done = done.unionByName(merged.where("NOT open"))
+        current = merged.where("open").withColumn("task", F.shiftright(F.col("bin").bitwiseAND((1 << 58) - 1), 30))
+    return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

@@ -26,16 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillseek.llm._shared import new_path
+from quillseek.llm._shared import new_path, slices, small_batches
 from quillseek.llm._tokens import batches, encoder
 
 MAGIC = b"QSTOKEN1"
 SHARD_TOKENS = 16_000_000
+#: What a task says about its shards.
+MANIFEST = {"partition": pa.int32(), "part": pa.int32(), "path": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}
 MAX_LEVELS = 64
 _ONE = np.uint64(1)
 
@@ -185,15 +188,14 @@ class Shard:
 
 
 def _write_partition(vocabulary: str, end_id: int, folder: str, shard_tokens: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get()
         id_type = "<u2" if max(len(enc.byte_length) - 1, end_id) < 1 << 16 else "<u4"
         fs, inner = pafs.FileSystem.from_uri(folder)
         fs.create_dir(inner, recursive=True)
         writer, written, k = None, [], 0
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            keys = [None if pd.isna(x) else int(x) for x in frame["doc_id"].array]
+        for part, texts in slices(arrow):
+            keys = part.column("doc_id").to_pylist()
             for a, b in batches(texts):
                 for i, raw in enumerate(enc.encode(texts[a:b]), a):
                     if writer is None:
@@ -207,7 +209,8 @@ def _write_partition(vocabulary: str, end_id: int, folder: str, shard_tokens: in
         if writer is not None:
             writer.close()
             written.append((task.partitionId(), k, f"{folder}/{name}", len(writer.keys), writer.tokens))
-        yield pd.DataFrame(written, columns=["partition", "part", "path", "n_docs", "n_tokens"])
+        columns = list(zip(*written, strict=True)) or [()] * len(MANIFEST)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, MANIFEST.values(), strict=True)], list(MANIFEST))
 
     return run
 
@@ -217,13 +220,14 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shard_
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_docs = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
         .repartitionByRange(partitions, "doc_id", "_tie")
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
     )
     schema = "partition int, part int, path string, n_docs long, n_tokens long"
-    shards = sorted(sorted_docs.mapInPandas(_write_partition(vocabulary, end_id, folder, shard_tokens), schema).collect())
+    with small_batches(spark):
+        shards = sorted(sorted_docs.mapInArrow(_write_partition(vocabulary, end_id, folder, shard_tokens), schema).collect())
     rows, start = [], 0
     for s in shards:
         rows.append((s.path, s.n_docs, s.n_tokens, start))
