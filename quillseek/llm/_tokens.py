@@ -1,9 +1,9 @@
-"""Encoding texts with the `tokenizers` library, with a memory of the pieces between spaces.
+"""Encoding texts with the `tokenizers` library, with a memory of the pieces between spaces and line ends.
 
-A byte-level BPE tokenizer splits a text into pre-tokens before it merges.  A single space that is followed
-by something other than white space always begins a pre-token, so a text can be cut there and its pieces
-encoded once each.  All pieces that a batch adds are encoded in one call and told apart by the byte lengths
-of their tokens.
+A byte-level BPE tokenizer splits a text into pre-tokens before it merges.  A space or line end that is followed
+by something other than white space always begins a pre-token, and so does a full stop or comma between a letter or
+digit and a cut, so a text can be cut there and its pieces encoded once each.  All pieces that a batch adds are
+encoded together and told apart by the byte lengths of their tokens.
 """
 
 from __future__ import annotations
@@ -14,18 +14,29 @@ import re
 import numpy as np
 
 #: Pieces in each of the two generations that one process remembers.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 #: Longer pieces are encoded each time they occur.
 LONG_PIECE = 48
 #: Pieces that are joined to one text; the library takes longer over long texts.
 JOINED = 500
 
-_ODD_SPACE = re.compile(" (?:[\\s᠎]|$)")
-_CUT = re.compile(" (?=[^\\s᠎])")
+#: What may be taken for white space after a space or line end, by any definition.
+_WHITE = "\\s\u180e"
+_ODD_SPACE, _ODD_LINE = re.compile(f" (?:[{_WHITE}]|$)"), re.compile(f"\n(?:[{_WHITE}]|$)")
+_CUT = re.compile(f"(?=[ \n][^{_WHITE}])")
+#: Letters and digits whose kind doesn't depend on the version of Unicode end here.
+_PLAIN_END = "\u0250"
 
 _encoders: dict[str, Encoder] = {}
 
 
+def pieces_of(text: str) -> list[str]:
+    """A text cut before each space or line end that something else than white space follows."""
+    if _ODD_SPACE.search(text) or _ODD_LINE.search(text) or "\0" in text:
+        return _CUT.split(text)
+    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+
+
 class Encoder:
     """Whole texts to little-endian unsigned 32-bit ids."""
 
@@ -39,45 +50,61 @@ class Encoder:
         self.byte_length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.byte_length[i] = len(token)
+        self.ends = {c: np.array(self._ids([c])[0], "<u4").tobytes() for c in ".,"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Each piece as if a space stood before it."""
-        texts = [" " + " ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        """Pieces that begin with a space or line end."""
+        texts = ["".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.array(e, "<u4") for e in self._ids(texts)])
         ends = np.cumsum(self.byte_length[ids])
-        wanted = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        wanted = np.cumsum([len(p.encode()) for p in pieces])
         cuts = np.searchsorted(ends, wanted) + 1
-        if len(ids) and not np.array_equal(ends[cuts - 1], wanted):
-            raise ValueError("a token of this vocabulary crosses a space")
+        if not np.array_equal(ends[cuts - 1], wanted):
+            raise ValueError("a token of this vocabulary crosses a cut")
         raw, at, out = ids.tobytes(), 0, []
         for cut in (cuts * 4).tolist():
             out.append(raw[at:cut])
             at = cut
         return out
 
+    def _missing(self, pieces) -> list[str]:
+        """Those of some distinct pieces that aren't remembered; those of the older generation are from now on."""
+        known, older, out = self.known, self.older, []
+        for p in [p for p in pieces if p not in known]:
+            ids = older.get(p)
+            if ids is None:
+                out.append(p)
+            else:
+                known[p] = ids
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        known, ends = self.known, self.ends
+        stopped = {p for p in pieces if p[-1] in ends and len(p) > 2 and p[-2] < _PLAIN_END and p[-2].isalnum()}
+        new = {p for p in pieces if p not in stopped} if stopped else set(pieces)
+        new.update(self._missing({p[:-1] for p in stopped}))
+        if new:
+            known.update(zip(new, self._encode_pieces(list(new)), strict=True))
+        for p in stopped:
+            known[p] = known[p[:-1]] + ends[p[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        cut = [pieces_of(t) for t in texts]
+        firsts = self._ids([pieces.pop(0) for pieces in cut])
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        wanted: set[str] = set()
-        for pieces in cut:
-            wanted.update(pieces[1:])
-        wanted.difference_update(known)
-        again = wanted & older.keys()
-        known.update((p, older[p]) for p in again)
-        wanted -= again
-        if wanted:
-            new = list(wanted)
-            known.update(zip(new, self._encode_pieces(new), strict=True))
-        firsts = self.tokenizer.encode_batch_fast([pieces[0] for pieces in cut], add_special_tokens=False)
-        get = known.__getitem__
-        out = [np.array(f.ids, "<u4").tobytes() + b"".join(map(get, pieces[1:])) for f, pieces in zip(firsts, cut, strict=True)]
-        for piece in wanted:
+        missing = self._missing(set().union(*cut))
+        self._learn(missing)
+        get = self.known.__getitem__
+        out = [np.array(f, "<u4").tobytes() + b"".join(map(get, pieces)) for f, pieces in zip(firsts, cut, strict=True)]
+        for piece in missing:
             if len(piece) > LONG_PIECE:
-                del known[piece]
+                del self.known[piece]
         return out
 
 
