@@ -7,7 +7,9 @@ blank strings have no row.  Ordinals are stored, so they don't depend on how a t
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -27,27 +29,40 @@ ORDINAL = "ref_index"
 def with_ordinals(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
     """df with ref_index 0, 1, ... in the order of `order_by`, which should name a row uniquely.
 
-    Rows are range-partitioned and numbered within their partitions; the partitions' sizes, one number each,
-    are then summed up.  No row goes to a single task.
+    Rows are range-partitioned and sorted within their partitions, and then numbered where they are.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn("__part", F.spark_partition_id())
-    numbered = dealt.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    return numbered_in_place(df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by))
+
+
+def numbered_in_place(df: DataFrame) -> DataFrame:
+    """df with ref_index 0, 1, ... in the order of its partitions and of the rows in them.
+
+    The rows are stored once with their partitions and places, since a second evaluation might deal them out
+    differently; the partitions' sizes, one number each, are then summed up.  No row goes to a single task.
+    """
+    spark = df.sparkSession
+    part = F.spark_partition_id()
+    path = scratch_path(spark, "rows")
+    at = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    df.withColumn("__part", part).withColumn("__at", at).write.parquet(path)
+    stored = spark.read.parquet(path)
+    sizes = stored.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    joined = numbered.join(F.broadcast(starts), "__part")
+    joined = stored.join(F.broadcast(starts), "__part")
     return joined.withColumn(ORDINAL, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
-def scratch_path(spark: SparkSession) -> str:
+def scratch_path(spark: SparkSession, label: str = "index") -> str:
     """A new path below the folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillseek-")
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def is_string_list(df: DataFrame, keys: Sequence) -> bool:
@@ -146,12 +161,12 @@ class Index:
         return replace(self, frame=self.frame.persist(), source=None)
 
     def add(self, docs: DataFrame) -> Index:
-        """The index with docs' rows after the present ones; docs has the records' columns, in order of `ref_index` if it has one."""
+        """The index with docs' rows after the present ones, in the order of their `ref_index` or else as they are read; docs has the records' columns."""
         last = self.frame.agg(F.max(ORDINAL)).first()[0]
         start = -1 if last is None else last
         names = [f.name for f in self.frame.schema["item"].dataType.fields]
         if ORDINAL not in docs.columns:
-            docs = with_ordinals(docs, [F.col(f"`{c}`") for c in docs.columns])
+            docs = numbered_in_place(docs)
         new = docs.select(*[F.col(f"`{c}`") for c in names], (F.col(ORDINAL) + F.lit(start + 1)).alias(ORDINAL))
         frame = self._frame_of(new, self.keys, self.strings, self.field_norm_weight, self.get)
         return replace(self, frame=self.frame.unionByName(frame), source=None)
