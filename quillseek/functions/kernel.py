@@ -80,12 +80,10 @@ def _alphabet(texts: list[str], pattern: str, width: int) -> np.ndarray:
     table = np.zeros(1 << 16, np.uint32)
     for c, b in bits.items():
         table[ord(c)] = b
-    codes = np.zeros((len(texts), width), np.uint16)
-    for row, t in enumerate(texts):
-        codes[row, : len(t)] = np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2")
-    masks = table[codes]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    masks[np.arange(width)[None, :] >= lengths[:, None]] = 0
+    inside = np.arange(width)[:, None] < lengths[None, :]
+    masks = np.zeros((len(texts), width), np.uint32)
+    masks[inside.T] = table[np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), "<u2")]
     return np.ascontiguousarray(masks.T)
 
 

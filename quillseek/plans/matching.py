@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,11 +160,12 @@ def searcher_for(pattern: str, options: Options, statistics: Callable[[list[str]
 
 def _hits(texts: list[str], spec: Fuzzy) -> pa.Array:
     matched, scores, ranges = match_folded(texts, spec)
+    if not spec.include_matches:
+        none = pa.array([None], pa.list_(_HIT.field("r").type.value_type)).take(pa.array(np.zeros(len(texts), np.int32)))
+        return pa.StructArray.from_arrays([pa.array(matched), pa.array(scores), none], ["m", "s", "r"])
     starts = [a for r in ranges for a, _ in r]
     ends = [b for r in ranges for _, b in r]
-    offsets = [0]
-    for r in ranges:
-        offsets.append(offsets[-1] + len(r))
+    offsets = np.cumsum([0, *map(len, ranges)])
     pairs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
     return pa.StructArray.from_arrays([pa.array(matched), pa.array(scores), lists], ["m", "s", "r"])
