@@ -65,6 +65,7 @@ def test_ranges():
     def ranges(pattern, text, **options):
         return match(pattern, text, include_matches=True, **options).get("indices")
 
+    # Published examples of ranges.
     assert ranges("olympics", "olympic medical office") == [(0, 6), (8, 8)]
     assert ranges("AAA", "AA BB AAA BBB", ignore_location=True, threshold=0.001) == [(6, 8)]
     assert ranges("ab", "ab XX ab YY ab") == [(0, 1), (6, 7), (12, 13)]
