@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than one in HOT_SHARE rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 500
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="quillseek-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return f"{folder.rstrip('/')}/{app}"
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm._shared import materialise, slices, small_batches
-from quillseek.llm._tokens import batches, encoder
+from quillseek.llm._tokens import REMEMBERED, batches, encoder
 
 OPEN_BINS = 4096
 FAN_IN = 16
@@ -101,9 +101,9 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return out + [(start, capacity) for start in range(first, length, capacity)]
 
 
-def _pack_partition(vocabulary: str, end_id: int, capacity: int, open_bins: int):
+def _pack_partition(vocabulary: str, end_id: int, capacity: int, open_bins: int, remembered: int = REMEMBERED):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(vocabulary, remembered), np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, open_bins, TaskContext.get().partitionId() << 40)
         waiting: list[tuple] = []
         for part, texts in slices(arrow):
@@ -139,13 +139,14 @@ def _merge(capacity: int, open_bins: int, level: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, open_bins: int = OPEN_BINS, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    docs needs doc_id and text.  `vocabulary` is the path of a tokenizer file that each executor can read.
+    docs needs doc_id and text.  `vocabulary` is the path of a tokenizer file that each executor can read; `remembered`
+    bounds the encoder's memory and has no influence on the result.
     """
     with small_batches(docs.sparkSession):
-        rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack_partition(vocabulary, end_id, capacity, open_bins), SCHEMA), "packed")
+        rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack_partition(vocabulary, end_id, capacity, open_bins, remembered), SCHEMA), "packed")
     done, current = rows.where("NOT open"), rows.where("open").withColumn("task", F.shiftright("bin", 40))
     tasks, level = (current.agg(F.max("task")).first()[0] or 0) + 1, 0
     while True:
