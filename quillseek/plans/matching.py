@@ -171,31 +171,25 @@ def _hits(texts: list[str], spec: Fuzzy) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(matched), pa.array(scores), lists], ["m", "s", "r"])
 
 
-def kernel(specs: Sequence[Fuzzy], width: int) -> Callable[..., Column]:
-    """A function of `width` columns array<string>: struct of arrays of hits, `k0t0` for the first column and pattern, and so on.
+def kernel(specs: Sequence[Sequence[Fuzzy]]) -> Callable[..., Column]:
+    """A function of columns array<string>, each with the patterns to match there: a struct of arrays of hits, `c0t0` for the first
+    column and its first pattern, and so on.
 
-    Equal texts of a batch are matched once.  It is declared non-deterministic so that the optimizer doesn't
+    Equal texts of a column's batch are matched once.  It is declared non-deterministic so that the optimizer doesn't
     evaluate it once for a filter and once more for the result.
     """
-    names = [f"k{k}t{t}" for k in range(width) for t in range(len(specs))]
+    names = [f"c{c}t{t}" for c, own in enumerate(specs) for t in range(len(own))]
     kind = "struct<" + ", ".join(f"{n}: array<{HIT}>" for n in names) + ">"
 
     @F.arrow_udf(kind)
     def run(*columns: pa.Array) -> pa.Array:
-        flat = [c.flatten() for c in columns]
-        codes = pa.chunked_array(flat, pa.string()).combine_chunks()
-        encoded = codes.dictionary_encode() if len(codes) else pa.array([], pa.string()).dictionary_encode()
-        if isinstance(encoded, pa.ChunkedArray):
-            encoded = encoded.combine_chunks()
-        texts = encoded.dictionary.to_pylist()
-        found = [_hits(texts, spec) for spec in specs]
-        out, at = [], 0
-        for column, own in zip(columns, flat, strict=True):
-            mine = encoded.indices.slice(at, len(own))
-            at += len(own)
+        out = []
+        for column, own in zip(columns, specs, strict=True):
+            encoded = column.flatten().dictionary_encode()
+            texts = encoded.dictionary.to_pylist()
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            offsets = pa.array([0, *lengths.cumsum().tolist()], pa.int32())
-            out += [pa.ListArray.from_arrays(offsets, hits.take(mine)) for hits in found]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            out += [pa.ListArray.from_arrays(offsets, _hits(texts, spec).take(encoded.indices)) for spec in own]
         return pa.StructArray.from_arrays(out, names)
 
     return run.asNondeterministic()

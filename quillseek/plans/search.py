@@ -42,10 +42,12 @@ MATCH = f"array<struct<indices: {RANGES}, key: string, ref_index: int, value: st
 
 @dataclass(frozen=True)
 class _Part:
-    """A searcher and where its patterns' hits are."""
+    """A searcher, the key it is asked about (None: all), the number of that scope, and where its patterns' hits are in it."""
 
     searcher: Searcher
-    first_hit: int
+    key: int | None = None
+    scope: int = 0
+    first_hit: int = 0
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,8 @@ class Collection:
     def folded_fields(self) -> DataFrame:
         """f: every text of every record as it is compared."""
         arrays = [folded_texts(F.col(f"k{i}"), self.options).alias(f"g{i}") for i in range(self.index.width)]
-        return self.index.frame.select(*arrays).select(F.explode(F.concat(*[f"g{i}" for i in range(self.index.width)])).alias("f"))
+        texts = _spread(self.index.frame.select(*[f"k{i}" for i in range(self.index.width)]))
+        return texts.select(*arrays).select(F.explode(F.concat(*[f"g{i}" for i in range(self.index.width)])).alias("f"))
 
     def document_frequency(self) -> DataFrame:
         return tokens.document_frequency(self.folded_fields(), self.options)
@@ -142,41 +145,32 @@ class Collection:
 
     def _text_query(self, query: str, corpus: Collection) -> DataFrame:
         searcher = searcher_for(query, self.options, corpus.statistics)
-        keys = self._keys()
         index = self._narrowed(lambda columns: _any_of([self._condition(searcher, c) for c in columns]))
-        rows = self._with_hits(index, [searcher])
-        part = _Part(searcher, 0)
-        found = [self._found(part, i, k) for i, k in enumerate(keys)]
-        rows = rows.select("item", ORDINAL, *[f.alias(f"f{i}") for i, f in enumerate(found)])
-        names = [F.col(f"f{i}") for i in range(len(keys))]
-        if searcher.has_inverse and not self.index.strings and len(keys) > 0:
-            # An inverse term asks something of all keys.
-            failed, inverse = F.lit(False), F.lit(False)
-            for f in names:
-                failed = failed | (F.size(f) == 0)
-                inverse = inverse | F.coalesce(F.get(f, F.lit(0))["inverse"], F.lit(False))
-            rows = rows.where(~(failed & inverse))
-        pooled = F.concat(*names) if names else F.expr("cast(array() AS array<struct<score: double>>)")
-        rows = rows.select("item", ORDINAL, pooled.alias("found")).where(F.size("found") > 0)
+        part = _Part(searcher)
+        rows = self._with_hits(index, [part]).select("item", ORDINAL, self._found(part).alias("found"))
+        conditions = []
+        if searcher.has_inverse and not self.index.strings:
+            # An inverse term asks something of all keys; the first match of a key says whether it has one.
+            inverse = "exists(transform(f, (x, i) -> x.inverse AND (i = 0 OR f[i - 1].key != x.key)), y -> y)"
+            conditions.append(f"(NOT {inverse} OR size(array_distinct(transform(f, x -> x.key))) = {len(self.index.keys)})")
         if searcher.n_terms is not None and self.options.token_match == "all":
-            covered = F.array_distinct(F.flatten(F.transform("found", lambda x: x["terms"])))
-            rows = rows.where(F.size(covered) == searcher.n_terms)
-        return self._scored(rows)
+            conditions.append(f"size(array_distinct(flatten(transform(f, x -> x.terms)))) = {searcher.n_terms}")
+        return self._scored(rows, conditions)
 
     def _logical_query(self, query: dict) -> DataFrame:
         tree = logical.parse(query)
         leaves = logical.leaves(tree)
         searchers = [self._leaf_searcher(leaf) for leaf in leaves]
-        keys = self._keys()
-        empty = self.index.frame.select("item", ORDINAL, F.lit(0.0).alias("score"), F.expr(f"cast(array() AS {MATCH})").alias("matches")).limit(0)
         if self.index.strings or not leaves:
-            return empty if self.options.include_matches else empty.drop("matches")
-        place = {k.id: i for i, k in enumerate(keys)}
-        first, parts = 0, []
-        for s in searchers:
-            parts.append(_Part(s, first))
-            first += len(s.fuzzy)
-        conditions = iter([(leaf, s) for leaf, s in zip(leaves, searchers, strict=True)])
+            nothing = self.index.frame.select("item", ORDINAL, F.lit(0.0).alias("score"), F.expr(f"cast(array() AS {MATCH})").alias("matches")).limit(0)
+            return nothing if self.options.include_matches else nothing.drop("matches")
+        place = {k.id: i for i, k in enumerate(self.index.keys)}
+        conditions, parts = iter(zip(leaves, searchers, strict=True)), []
+        for leaf, searcher in zip(leaves, searchers, strict=True):
+            key = None if leaf.key is None else place.get(leaf.key, -1)
+            before = [p for p in parts if p.key == key]
+            scope = before[0].scope if before else len({p.scope for p in parts})
+            parts.append(_Part(searcher, key, scope, sum(len(p.searcher.fuzzy) for p in before)))
 
         def narrow(plain: list[Column | None]) -> Column | None:
             def one(_: logical.Leaf) -> Column | None:
@@ -187,37 +181,24 @@ class Collection:
 
             return logical.fold_tree(tree, one, _all_of, _any_of)
 
-        rows = self._with_hits(self._narrowed(narrow), searchers)
-        columns: list[list[str]] = []
-        found: list[Column] = []
-        for n, (leaf, part) in enumerate(zip(leaves, parts, strict=True)):
-            at = range(len(keys)) if leaf.key is None else ([place[leaf.key]] if leaf.key in place else [])
-            columns.append([f"l{n}k{i}" for i in at])
-            found += [self._found(part, i, keys[i]).alias(f"l{n}k{i}") for i in at]
-        rows = rows.select("item", ORDINAL, *found)
-        kind = next((f.dataType.simpleString() for f in rows.schema.fields if f.name not in ("item", ORDINAL)), None)
-        if kind is None:
-            return empty if self.options.include_matches else empty.drop("matches")
-        nothing = F.expr(f"cast(array() AS {kind})")
-        waiting = iter(columns)
-
-        def leaf_matches(_: logical.Leaf) -> Column:
-            own = next(waiting)
-            return F.concat(*own) if own else nothing
-
-        def all_of(children: list[Column]) -> Column:
+        rows = self._with_hits(self._narrowed(narrow), parts)
+        rows = rows.select("item", ORDINAL, *[self._found(part).alias(f"l{n}") for n, part in enumerate(parts)])
+        names = iter([f"l{n}" for n in range(len(leaves))])
+        empty = "filter(l0, x -> false)"
+
+        def all_of(children: list[str]) -> str:
             if not children:
-                return nothing
-            whole = F.size(children[0]) > 0
-            for c in children[1:]:
-                whole = whole & (F.size(c) > 0)
-            return F.when(whole, F.concat(*children)).otherwise(nothing)
+                return empty
+            whole = " AND ".join(f"size({c}) > 0" for c in children)
+            return f"CASE WHEN {whole} THEN concat({', '.join(children)}) ELSE {empty} END"
 
-        def some_of(children: list[Column]) -> Column:
-            return F.concat(*children) if children else nothing
+        pooled = logical.fold_tree(tree, lambda _: next(names), all_of, lambda children: f"concat({', '.join(children)})" if children else empty)
+        return self._scored(rows.select("item", ORDINAL, F.expr(pooled).alias("found")))
 
-        pooled = logical.fold_tree(tree, leaf_matches, all_of, some_of)
-        return self._scored(rows.select("item", ORDINAL, pooled.alias("found")).where(F.size("found") > 0))
+    def _leaf_searcher(self, leaf: logical.Leaf) -> Searcher:
+        if isinstance(leaf.query, str):
+            return searcher_for(leaf.query, self.options)
+        return GridSearcher(objects.compile_field_query(leaf.query, leaf.key, self.options), self.options)
 
     def _condition(self, searcher: Searcher, column: Column | None) -> Column | None:
         """What a plain column's text must satisfy for the searcher to match it; None if that can't be said."""
@@ -231,50 +212,61 @@ class Collection:
         condition = condition_of(plain) if any(c is not None for c in plain) else None
         return self.index if condition is None else self.index.where(condition)
 
-    def _leaf_searcher(self, leaf: logical.Leaf) -> Searcher:
-        if isinstance(leaf.query, str):
-            return searcher_for(leaf.query, self.options)
-        return GridSearcher(objects.compile_field_query(leaf.query, leaf.key, self.options), self.options)
-
-    def _with_hits(self, index: Index, searchers: Sequence[Searcher]) -> DataFrame:
-        """The records with their folded texts (g0, g1, ...) and the kernel's hits (h)."""
-        width = index.width
-        rows = index.records()
-        folded = [folded_texts(F.col(f"k{i}"), self.options).alias(f"g{i}") for i in range(width)]
-        rows = rows.select("item", ORDINAL, *[f"k{i}" for i in range(width)], *folded)
-        specs = [spec for s in searchers for spec in s.fuzzy]
-        if not specs or not width:
+    def _with_hits(self, index: Index, parts: Sequence[_Part]) -> DataFrame:
+        """The records with the texts of each scope (t0, t1, ...: v, i, n and the key's number), the same as they are compared (g0, ...)
+        and the kernel's hits (h)."""
+        scopes = {p.scope: p.key for p in parts}
+        texts = []
+        for scope, key in scopes.items():
+            own = range(index.width) if key is None else [key] if key >= 0 else []
+            each = [f"transform(k{i}, x -> struct(x.v AS v, x.i AS i, x.n AS n, {i} AS key))" for i in own]
+            all_texts = f"concat({', '.join(each)})" if each else "cast(array() AS array<struct<v: string, i: int, n: double, key: int>>)"
+            texts.append(F.expr(all_texts).alias(f"t{scope}"))
+        rows = index.records().select("item", ORDINAL, *texts)
+        rows = rows.select("*", *[folded_texts(F.col(f"t{c}"), self.options).alias(f"g{c}") for c in scopes])
+        specs = {c: [spec for p in parts if p.scope == c for spec in p.searcher.fuzzy] for c in scopes}
+        if not any(specs.values()):
             return rows
-        reach = reach_of(specs)
-        shown = [F.col(f"g{i}") if reach is None else F.transform(f"g{i}", lambda x: F.substring(x, 1, reach)) for i in range(width)]
-        return _spread(rows).withColumn("h", kernel(specs, width)(*shown))
-
-    def _found(self, part: _Part, at: int, key: Key | None) -> Column:
-        """What a searcher finds in the texts of a key: an array of matches with what their scores and reports need."""
-        options, searcher = self.options, part.searcher
+        reach = {c: reach_of(own) for c, own in specs.items()}
+        shown = [F.col(f"g{c}") if r is None else F.expr(f"transform(g{c}, x -> substring(x, 1, {r}))") for c, r in reach.items()]
+        return _spread(rows).withColumn("h", kernel(list(specs.values()))(*shown))
+
+    def _found(self, part: _Part) -> Column:
+        """What a searcher finds in the texts of its scope: an array of matches with what their scores and reports need."""
+        options, searcher, keys = self.options, part.searcher, self._keys()
+        keyed = not self.index.strings
+        weights = F.expr(f"array({', '.join(f'{k.weight!r}D' for k in keys)})") if keyed and keys else None
+        ids = F.array(*[F.lit(k.id) for k in keys]) if keyed and keys else F.array(F.lit(None).cast("string"))
+        hits_of = [F.col("h")[f"c{part.scope}t{part.first_hit + t}"] for t in range(len(searcher.fuzzy))]
 
         def one(x: Column, i: Column) -> Column:
-            hits = [F.get(F.col("h")[f"k{at}t{part.first_hit + t}"], i) for t in range(len(searcher.fuzzy))]
-            v = searcher.verdict(F.get(F.col(f"g{at}"), i), hits)
-            exponent = (1.0 if key is None else key.weight) * (F.lit(1.0) if options.ignore_field_norm else x["n"])
-            base = v.score if key is None else F.when(v.score == 0, F.lit(EPSILON)).otherwise(v.score)
-            fields = [v.matched.alias("matched"), F.pow(base, exponent).alias("factor")]
+            v = searcher.verdict(F.get(F.col(f"g{part.scope}"), i), [F.get(h, i) for h in hits_of])
+            exponent = F.lit(1.0) if options.ignore_field_norm else x["n"]
+            if weights is not None:
+                exponent = F.get(weights, x["key"]) * exponent
+            base = F.when(v.score == 0, F.lit(EPSILON)).otherwise(v.score) if keyed else v.score
+            fields = [v.matched.alias("matched"), F.pow(base, exponent).alias("factor"), x["key"].alias("key")]
             fields.append((F.lit(False) if v.inverse is None else v.inverse).alias("inverse"))
             if searcher.n_terms is not None:
                 fields.append(v.terms.alias("terms"))
             if options.include_matches:
-                report = F.struct(v.ranges.alias("indices"), F.lit(None if key is None else key.id).cast("string").alias("key"), x["i"].alias("ref_index"), x["v"].alias("value"))
+                report = F.struct(v.ranges.alias("indices"), F.get(ids, x["key"]).alias("key"), x["i"].alias("ref_index"), x["v"].alias("value"))
                 fields.append(report.alias("report"))
             return F.struct(*fields)
 
-        return F.filter(F.transform(f"k{at}", one), lambda x: F.coalesce(x["matched"], F.lit(False)))
+        return F.filter(F.transform(f"t{part.scope}", one), lambda x: F.coalesce(x["matched"], F.lit(False)))
+
+    def _scored(self, rows: DataFrame, conditions: Sequence[str] = ()) -> DataFrame:
+        """Scores, as products in the order of keys and array elements, of the records with matches that satisfy conditions on them (f).
 
-    def _scored(self, rows: DataFrame) -> DataFrame:
-        """Scores as products in the order of keys and array elements."""
-        score = F.aggregate("found", F.lit(1.0), lambda acc, x: acc * x["factor"]).alias("score")
+        The conditions are part of a generator, so that the matches are computed once and not once for each mention.
+        """
+        kept = " AND ".join(["size(f) > 0", *conditions])
+        rows = rows.select("item", ORDINAL, F.expr(f"explode(filter(array(found), f -> {kept}))").alias("found"))
+        score = F.expr("aggregate(found, 1D, (acc, x) -> acc * x.factor)").alias("score")
         if not self.options.include_matches:
             return rows.select("item", ORDINAL, score)
-        reports = F.filter(F.transform("found", lambda x: x["report"]), lambda r: F.size(r["indices"]) > 0)
+        reports = F.expr("filter(transform(found, x -> x.report), r -> size(r.indices) > 0)")
         return rows.select("item", ORDINAL, score, reports.alias("matches"))
 
 
@@ -294,10 +286,17 @@ def _all_of(conditions: list[Column | None]) -> Column | None:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """A small table is often one partition, which would keep the kernel on one core; larger ones stay as they are read."""
-    if rows.isStreaming or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
+    """A small table is often one partition, which would keep the kernel on one core; larger ones stay as they are read.
+
+    Both the number of partitions, where the plan knows it (0: it doesn't), and the size are the optimizer's; nothing runs.
+    """
+    if rows.isStreaming:
+        return rows
+    query, cores = rows._jdf.queryExecution(), rows.sparkSession.sparkContext.defaultParallelism
+    known = query.executedPlan().outputPartitioning().numPartitions()
+    if known * 2 > cores or int(str(query.optimizedPlan().stats().sizeInBytes())) > SMALL_TABLE:
         return rows
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(cores)
 
 
 def fuzzy_match(column: Column, pattern: str, options: Options | None = None, **changes) -> Column:
@@ -315,7 +314,7 @@ def fuzzy_match(column: Column, pattern: str, options: Options | None = None, **
     if not chosen.use_extended_search:
         searcher = FuzzySearcher(pattern, chosen)
         texts = F.array(F.struct(column.alias("v")))
-        return F.get(kernel(searcher.fuzzy, 1)(folded_texts(texts, chosen))["k0t0"], F.lit(0))
+        return F.get(kernel([searcher.fuzzy])(folded_texts(texts, chosen))["c0t0"], F.lit(0))
     return run.asNondeterministic()(column)
 
 
