@@ -32,7 +32,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoder remembers less than by default: the executors' heaps are full from the stages before."""
-    return packing.pack(docs, vocabulary_path(), remembered=200_000)
+    return packing.pack(docs, vocabulary_path(), remembered=100_000)
 
 
 STAGES = [
