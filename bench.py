@@ -34,6 +34,7 @@ def session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.environment["PYTHONPATH"] = os.path.dirname(os.path.abspath(__file__))  # for Python tasks
     return spark
 
 
