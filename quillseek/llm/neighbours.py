@@ -8,8 +8,10 @@ smallest hash of this round on their own list, so hosts of one cluster hardly ov
 some host's list.  A list that is longer than the round's limit is saturated; its limit doubles in the next
 round.  Rounds end when they hardly find anything new.
 
-An audit then compares a bounded sample of nodes with all nodes; if the recall of the links is
-below TARGET, more tables are seeded and refinement goes on.  Cosines are computed in double precision
+The number of tables follows from the number of signs, so that two vectors at exactly the threshold, which may have no
+other neighbour that could lead from one to the other, share a bucket with probability SEEDED at any size.  An audit
+then compares a bounded sample of nodes, chosen uniformly, with all nodes; if the recall of their links, averaged
+over the nodes that have links, is below TARGET, more tables are seeded and refinement goes on.  Cosines are computed in double precision
 wherever two vectors meet, so the edges at or above the threshold are exact when they are kept.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
@@ -32,15 +34,19 @@ from quillseek.llm._shared import forget, join_hot, materialise
 THRESHOLD = 0.95
 #: Pairs below this cosine don't enter the lists: they can't lead from a vector to one that it links with in one step.
 FLOOR = 0.8
+#: Tables, at least.
 TABLES = 16
-#: Nodes in a bucket, about.
-BUCKET = 16
+#: The probability that a pair at the threshold shares a bucket in some table.
+SEEDED = 0.999
+#: Nodes in a bucket, about: fewer signs need fewer tables, and tables move vectors.
+BUCKET = 128
 #: Vectors that a host gathers in the first round.
 LIST = 256
 MAX_ROUNDS = 8
 #: A round that adds a smaller share of links is the last.
 SETTLED = 0.0005
-AUDIT_NODES = 256
+#: Nodes that an audit compares with all nodes.
+AUDIT_NODES = 2048
 TARGET = 0.995
 MAX_AUDITS = 4
 #: Rows that are compared at once.
@@ -63,6 +69,16 @@ def _planes(dim: int, table: int, bits: int) -> np.ndarray:
     return np.random.default_rng([7, dim, table]).standard_normal((dim, bits))
 
 
+def bits_for(count: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(2, count / BUCKET))), 1, 62))
+
+
+def tables_for(bits: int, threshold: float = THRESHOLD) -> int:
+    """So many tables of `bits` signs that vectors at the threshold share a bucket of one with probability SEEDED."""
+    same = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(TABLES, int(np.ceil(np.log(1 - SEEDED) / np.log1p(-same)))) if same < 1 else TABLES
+
+
 def _bucket_partition(tables: range, bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -156,15 +172,9 @@ def _distinct(edges: DataFrame) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, size: int) -> float:
-    """The share of the links of `size` nodes, chosen by hash, that edges has."""
+    """The share of its links that edges has, averaged over those of `size` nodes, chosen by hash, that have links."""
     n = nodes.count()
     chosen = nodes.where(F.pmod(F.xxhash64("nid", F.lit("audit")), F.lit(1 << 30)) * F.lit(n) < F.lit(size << 30)).select("nid", "embedding").toPandas()
-    linked_nodes = edges.where(F.col("cos") >= threshold).select("a").distinct()
-    m = linked_nodes.count()
-    if m:  # as many nodes again of those with links: few of a table's vectors may have any
-        some = linked_nodes.where(F.pmod(F.xxhash64("a", F.lit("audit")), F.lit(1 << 30)) * F.lit(m) < F.lit(size << 30))
-        more = nodes.join(some.withColumnRenamed("a", "nid"), "nid", "left_semi").select("nid", "embedding").toPandas()
-        chosen = pd.concat([chosen, more]).drop_duplicates("nid")
     if not len(chosen):
         return 1.0
     sample = [(dim, part["nid"].to_numpy(), _unit(part["embedding"].to_numpy())) for dim, part in chosen.groupby(chosen["embedding"].map(len))]
@@ -173,27 +183,33 @@ def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, size: int) -> f
         for frame in frames:
             for dim, ids, x in sample:
                 part = frame[frame["embedding"].map(len) == dim]
-                if len(part):
-                    cos = x @ _unit(part["embedding"].to_numpy()).T
-                    near = (cos >= threshold) & (ids[:, None] != part["nid"].to_numpy()[None, :])
-                    yield pd.DataFrame({"nid": ids, "links": near.sum(axis=1)})
-
-    truth = nodes.mapInPandas(count, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
+                for i in range(0, len(part), BLOCK):
+                    block = part[i : i + BLOCK]
+                    near = x @ _unit(block["embedding"].to_numpy()).T >= threshold
+                    near &= ids[:, None] != block["nid"].to_numpy()[None, :]
+                    links = near.sum(axis=1)
+                    yield pd.DataFrame({"nid": ids[links > 0], "links": links[links > 0]})
+
+    truth = nodes.mapInPandas(count, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links")).toPandas()
+    if not len(truth):
+        return 1.0
     linked = edges.where(F.col("cos") >= threshold)
-    ids = truth.select("nid")
-    have = linked.select(F.col("a").alias("nid")).unionByName(linked.select(F.col("b").alias("nid"))).join(F.broadcast(ids), "nid").count()
-    want = truth.agg(F.sum("links")).first()[0] or 0
-    return have / want if want else 1.0
+    ids = nodes.sparkSession.createDataFrame([(int(i),) for i in truth["nid"]], "nid long")
+    ends = linked.select(F.col("a").alias("nid")).unionByName(linked.select(F.col("b").alias("nid"))).join(F.broadcast(ids), "nid")
+    have = ends.groupBy("nid").agg(F.count("*").alias("have")).toPandas()
+    both = truth.merge(have, "left", "nid").fillna({"have": 0})
+    return float((both["have"] / both["links"]).mean())
 
 
 def graph(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
     """nodes: nid, n, embedding (distinct, valid).  The links a < b with na, nb and cos, and the audited recall."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = nodes.count()
-    bits = int(np.clip(np.ceil(np.log2(max(2, count / BUCKET))), 1, 62))
-    edges, recall, round_no = None, 0.0, 0
+    bits = bits_for(count)
+    tables = tables_for(bits, threshold)
+    edges, recall = None, 0.0
     for audit in range(MAX_AUDITS):
-        seeded = _seed(nodes, range(audit * TABLES, (audit + 1) * TABLES), bits, partitions)
+        seeded = _seed(nodes, range(audit * tables, (audit + 1) * tables), bits, partitions)
         edges = materialise(_distinct(seeded if edges is None else edges.unionByName(seeded)), "edges")
         have = edges.where(F.col("cos") >= threshold).count()
         for turn in range(MAX_ROUNDS):

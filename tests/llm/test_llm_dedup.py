@@ -208,6 +208,27 @@ def test_long_lists_are_enlarged(spark, monkeypatch):
     assert sum(r["n_links"] for r in found) >= 0.99 * 120 * 119 and {r["component_id"] for r in found} == {0}
 
 
+@pytest.mark.parametrize("count", [100, 80_000, 1_000_000, 10_000_000, 1_000_000_000])
+def test_pairs_at_the_threshold_are_seeded_at_any_size(count):
+    bits = neighbours.bits_for(count)
+    same = 1 - np.arccos(neighbours.THRESHOLD) / np.pi
+    assert 1 - (1 - same**bits) ** neighbours.tables_for(bits) >= 0.999
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    rows = [centre + 0.01 * rng.standard_normal(64) for _ in range(200)]
+    for _ in range(20):
+        a = rng.standard_normal(64)
+        rows += [a, a + 0.01 * rng.standard_normal(64)]
+    nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rows)], "nid long, n long, embedding array<double>")
+    group = [(a, b, 1, 1, 1.0) for b in range(200) for a in range(b)]
+    pairs = [(a, a + 1, 1, 1, 1.0) for a in range(200, 240, 2)]
+    assert neighbours._audit(nodes, spark.createDataFrame(group, neighbours.EDGES), 0.95, 2048) == pytest.approx(200 / 240)
+    assert neighbours._audit(nodes, spark.createDataFrame(group + pairs, neighbours.EDGES), 0.95, 2048) == 1
+
+
 def test_queries_run(spark):
     for query in (queries.op2_embedding_near_dedup, queries.op5_exact_dedup, queries.op10_simhash_near_dedup):
         assert query(spark, "/root/testdata/sf0.001").count() > 0
