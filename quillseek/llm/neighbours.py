@@ -6,12 +6,14 @@ round some nodes are hosts, each host gathers the vectors on its list (neighbour
 all of them, and every pair at or above the list's floor enters the lists of both.  Hosts are the nodes that have the
 smallest hash of this round on their own list, so hosts of one cluster hardly overlap, and every other node sits on
 some host's list.  A list that is longer than the round's limit is saturated; its limit doubles in the next
-round.  Rounds end when they hardly find anything new.
+round.  Rounds end when they hardly find anything new and no list is saturated.  The vectors of a large bucket
+or list are dealt to blocks, and every two blocks meet in a group of their own, whichever task has it.
 
 The number of tables follows from the number of signs, so that two vectors at exactly the threshold, which may have no
 other neighbour that could lead from one to the other, share a bucket with probability SEEDED at any size.  An audit
 then compares a bounded sample of nodes, chosen uniformly, with all nodes; if the recall of their links, averaged
-over the nodes that have links, is below TARGET, more tables are seeded and refinement goes on.  Cosines are computed in double precision
+over the nodes that have links, is below TARGET, more tables are seeded and refinement goes on; after MAX_AUDITS failures all blocks of the table are
+compared, which takes time in proportion to its square.  Cosines are computed in double precision
 wherever two vectors meet, so the edges at or above the threshold are exact when they are kept.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
@@ -22,14 +24,15 @@ each other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm._graph import components
-from quillseek.llm._shared import forget, join_hot, materialise
+from quillseek.llm._shared import forget, join_hot, materialise, small
 
 THRESHOLD = 0.95
 #: Pairs below this cosine don't enter the lists: they can't lead from a vector to one that it links with in one step.
@@ -42,14 +45,15 @@ SEEDED = 0.999
 BUCKET = 128
 #: Vectors that a host gathers in the first round.
 LIST = 256
+#: Rounds, at most, unless lists are saturated.
 MAX_ROUNDS = 8
-#: A round that adds a smaller share of links is the last.
+#: A round that adds a smaller share of links is the last if no list is saturated.
 SETTLED = 0.0005
 #: Nodes that an audit compares with all nodes.
 AUDIT_NODES = 2048
 TARGET = 0.995
 MAX_AUDITS = 4
-#: Rows that are compared at once.
+#: Rows that are compared at once; groups of more than two blocks are dealt to several.
 BLOCK = 2048
 
 
@@ -91,17 +95,45 @@ def _bucket_partition(tables: range, bits: int):
     return run
 
 
-def _pairs(nid: np.ndarray, n: np.ndarray, rows, floor: float) -> Iterator[pd.DataFrame]:
-    """All pairs of one group at or above floor, block by block."""
-    x = _unit(rows)
+def _cell_sizes(tables: range, bits: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in _bucket_partition(tables, bits)(frames):
+            yield cells.groupby("cell").size().rename("size").reset_index()
+
+    return run
+
+
+def _dealt(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """rows: key, nid, n, embedding, blocks.  Every two of a key's blocks, and each with itself, are a group.
+
+    part: 0 in groups of one block, else 1 or 2 for the block that a row is in.
+    """
+    own, other = F.pmod(F.xxhash64("nid", F.lit("block")), F.col("blocks")), F.col("other")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.concat_ws(":", key, F.least("own", other), F.greatest("own", other))
+    part = F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2)
+    rows = rows.select(group.alias("group"), part.alias("part"), "nid", "n", "embedding")
+    return rows.repartition(partitions, "group").sortWithinPartitions("group")
+
+
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / F.lit(2 * BLOCK)).cast("long")
+
+
+def _pairs(left: pd.DataFrame, right: pd.DataFrame, floor: float) -> Iterator[pd.DataFrame]:
+    """All pairs of one group (left is right), or of one row from each side, at or above floor, block by block."""
+    same = left is right
+    (ni, x), (nj, y) = [(r[["nid", "n"]].to_numpy(), _unit(r["embedding"].to_numpy())) for r in (left, right)]
     for i in range(0, len(x), BLOCK):
-        for j in range(i, len(x), BLOCK):
-            cos = x[i : i + BLOCK] @ x[j : j + BLOCK].T
+        for j in range(i if same else 0, len(y), BLOCK):
+            cos = x[i : i + BLOCK] @ y[j : j + BLOCK].T
             a, b = np.nonzero(cos >= floor)
-            keep = a + i < b + j
-            a, b = a[keep], b[keep]
+            if same:
+                keep = a + i < b + j
+                a, b = a[keep], b[keep]
             if len(a):
-                yield pd.DataFrame({"a": nid[a + i], "b": nid[b + j], "na": n[a + i], "nb": n[b + j], "cos": cos[a, b]})
+                p, q = ni[a + i], nj[b + j]
+                yield pd.DataFrame({"a": p[:, 0], "b": q[:, 0], "na": p[:, 1], "nb": q[:, 1], "cos": cos[a, b]})
 
 
 def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
@@ -112,32 +144,34 @@ def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def _compare_groups(key: str, floor: float, chunk: int):
-    """Rows come sorted by `key`; the rows of one key are compared, `chunk` at a time."""
+def _compare_groups(floor: float):
+    """Rows come sorted by group; all rows of one group are compared."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for frame in frames:
             if not len(frame):
                 continue
-            changes = np.flatnonzero(frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]) + 1
-            if held and held[0][key].iat[0] != frame[key].iat[0]:
+            group = frame["group"].to_numpy()
+            if held and held[0]["group"].iat[0] != group[0]:
                 yield from compare(held)
                 held = []
             at = 0
-            for cut in [*changes.tolist(), len(frame)]:
-                held.append(frame[at:cut])
-                if sum(map(len, held)) >= chunk or cut < len(frame):
-                    yield from compare(held)
-                    held = []
-                at = cut
+            for cut in (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist():
+                yield from compare([*held, frame[at:cut]])
+                held, at = [], cut
+            held.append(frame[at:])
         if held:
             yield from compare(held)
 
     def compare(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held) if len(held) > 1 else held[0]
-        if len(rows) > 1:
-            for found in _pairs(rows["nid"].to_numpy(), rows["n"].to_numpy(), rows["embedding"].to_numpy(), floor):
+        if not rows["part"].iat[0]:
+            left = right = rows
+        else:
+            left, right = rows[rows["part"] == 1], rows[rows["part"] == 2]
+        if len(left) and len(right) and len(rows) > 1:
+            for found in _pairs(left, right, floor):
                 yield _ordered(found)
 
     return run
@@ -148,8 +182,10 @@ EDGES = "a long, b long, na long, nb long, cos double"
 
 def _seed(nodes: DataFrame, tables: range, bits: int, partitions: int) -> DataFrame:
     cells = nodes.mapInPandas(_bucket_partition(tables, bits), f"cell string, nid long, n long, embedding {nodes.schema['embedding'].dataType.simpleString()}")
-    dealt = cells.repartition(partitions, "cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(_compare_groups("cell", FLOOR, BLOCK), EDGES)
+    sizes = nodes.mapInPandas(_cell_sizes(tables, bits), "cell string, size long").groupBy("cell").agg(F.sum("size").alias("size"))
+    large = materialise(sizes.where(F.col("size") > 2 * BLOCK).select("cell", _blocks(F.col("size")).alias("blocks")), "large-cells")
+    cells = cells.withColumn("blocks", F.lit(1).cast("long")) if large.isEmpty() else cells.join(small(large), "cell", "left").fillna(1, ["blocks"])
+    return _dealt(cells, "cell", partitions).mapInPandas(_compare_groups(FLOOR), EDGES)
 
 
 def _refine(nodes: DataFrame, edges: DataFrame, round_no: int, partitions: int) -> DataFrame:
@@ -157,14 +193,24 @@ def _refine(nodes: DataFrame, edges: DataFrame, round_no: int, partitions: int)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rank = lambda c: F.xxhash64(c, F.lit(round_no))
     lowest = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low"), F.count("*").alias("listed")).where(rank(F.col("a")) < F.col("low"))
-    hosts = lowest.select(F.col("a").alias("host"), "listed")
     limit = LIST << round_no
+    hosts = lowest.select(F.col("a").alias("host"), "listed", _blocks(F.least("listed", F.lit(limit)) + 1).alias("blocks"))
     share = F.pmod(F.xxhash64("b", "a", F.lit(round_no)), F.lit(1 << 30)) * F.col("listed") < F.lit(limit << 30)
-    lists = hosts.join(both.withColumnRenamed("a", "host"), "host").withColumnRenamed("host", "a").where(share).select(F.col("a").alias("host"), F.col("b").alias("nid"))
-    lists = lists.unionByName(hosts.select("host", F.col("host").alias("nid")))
-    gathered = lists.join(nodes, "nid").select("host", "nid", "n", "embedding")
-    dealt = gathered.repartition(partitions, "host").sortWithinPartitions("host")
-    return dealt.mapInPandas(_compare_groups("host", FLOOR, 4 * limit), EDGES)
+    lists = hosts.join(both.withColumnRenamed("a", "host"), "host").withColumnRenamed("host", "a").where(share).select(F.col("a").alias("host"), F.col("b").alias("nid"), "blocks")
+    lists = lists.unionByName(hosts.select("host", F.col("host").alias("nid"), "blocks"))
+    gathered = lists.join(nodes, "nid").select("host", "nid", "n", "embedding", "blocks")
+    return _dealt(gathered, "host", partitions).mapInPandas(_compare_groups(FLOOR), EDGES)
+
+
+def _longest(edges: DataFrame) -> int:
+    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
+    return ends.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+
+
+def _all_pairs(nodes: DataFrame, threshold: float, partitions: int) -> DataFrame:
+    sized = nodes.withColumn("dim", F.size("embedding"))
+    sizes = sized.groupBy("dim").agg(F.count("*").alias("rows")).select("dim", _blocks(F.col("rows")).alias("blocks"))
+    return _dealt(sized.join(F.broadcast(sizes), "dim"), "dim", partitions).mapInPandas(_compare_groups(threshold), EDGES)
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -212,17 +258,18 @@ def graph(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, fl
         seeded = _seed(nodes, range(audit * tables, (audit + 1) * tables), bits, partitions)
         edges = materialise(_distinct(seeded if edges is None else edges.unionByName(seeded)), "edges")
         have = edges.where(F.col("cos") >= threshold).count()
-        for turn in range(MAX_ROUNDS):
+        for turn in count_up():
             refined = materialise(_distinct(edges.unionByName(_refine(nodes, edges, turn, partitions))), "edges")
             forget(edges)
             edges, before = refined, have
             have = edges.where(F.col("cos") >= threshold).count()
-            if have - before <= SETTLED * have:
+            if (have - before <= SETTLED * have or turn + 1 >= MAX_ROUNDS) and _longest(edges) <= LIST << turn:
                 break
         recall = _audit(nodes, edges, threshold, AUDIT_NODES)
         if recall >= TARGET:
-            break
-    return edges.where(F.col("cos") >= threshold), recall
+            return edges.where(F.col("cos") >= threshold), recall
+    forget(edges)
+    return materialise(_all_pairs(nodes, threshold, partitions), "edges"), 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -229,6 +229,49 @@ def test_audit_sees_lost_pairs_beside_a_large_group(spark):
     assert neighbours._audit(nodes, spark.createDataFrame(group + pairs, neighbours.EDGES), 0.95, 2048) == 1
 
 
+def dense_group(spark, size):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    rows = [(i, 1, (centre + 0.02 * rng.standard_normal(24)).tolist()) for i in range(size)]
+    return spark.createDataFrame(rows, "nid long, n long, embedding array<double>").repartition(4)
+
+
+def test_all_blocks_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        nodes = dense_group(spark, 150)
+        seeded = neighbours._seed(nodes, range(3), 1, 4).select("a", "b").distinct()
+        by_side = [neighbours._bucket_partition(range(t, t + 1), 1) for t in range(3)]
+        frame = nodes.toPandas()
+        expected = set()
+        for side in by_side:
+            for cells in side(iter([frame])):
+                for _, cell in cells.groupby("cell"):
+                    ids = sorted(cell["nid"])
+                    expected.update((a, b) for b in ids for a in ids if a < b)
+        assert {(r["a"], r["b"]) for r in seeded.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_links_are_whole_when_audits_fail(spark, monkeypatch):
+    """Nothing is seeded, so nothing is refined: the audit sees it and all blocks are compared."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "_seed", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.EDGES))
+    links, recall = neighbours.graph(dense_group(spark, 120))
+    assert recall == 1 and {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for b in range(120) for a in range(b)} and links.count() == 60 * 119
+
+
+def test_rounds_go_on_while_lists_are_saturated(spark, monkeypatch):
+    """No round finds anything new, but hosts see whole lists only when the limit has doubled often enough."""
+    monkeypatch.setattr(neighbours, "LIST", 4)
+    limits, refine = [], neighbours._refine
+    monkeypatch.setattr(neighbours, "_refine", lambda nodes, edges, turn, n: limits.append(4 << turn) or refine(nodes, edges, turn, n))
+    neighbours.graph(dense_group(spark, 100))
+    assert limits[-1] >= 99
+
+
 def test_queries_run(spark):
     for query in (queries.op2_embedding_near_dedup, queries.op5_exact_dedup, queries.op10_simhash_near_dedup):
         assert query(spark, "/root/testdata/sf0.001").count() > 0
