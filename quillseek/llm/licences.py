@@ -6,6 +6,12 @@ pairs the coefficient is at most 2 min(a, b) / (a + b), so only templates whose
 t / (2 - t) and (2 - t) / t times the unit's are compared, and only if the unit has enough pairs that
 occur in any template.
 
+Notices that share their line or paragraph with other words are looked for within the text: its sentences, and all
+windows of its words that are as long as a template or longer, up to the size bound, are compared in the same way.
+Windows aren't shorter than the template, since any other word in a short notice could be left out of the window then.  Of matches that
+overlap the best counts, and none counts that lies for half of its words or more in a unit that matches.  A match
+has two thirds of its template's pairs, so only texts that have one of the last third, its rarest-looking ones, are searched.
+
 Everything happens within a row, so no rows move and hot keys don't matter.
 
 Defined results: a null or empty text has no units and no licence; of several matches the one with the largest
@@ -16,7 +22,9 @@ are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +48,8 @@ TEMPLATES = (
 
 WORDS = "[A-Za-z0-9]+"
 BLANK_LINE = r"\n[ \t\r]*\n"
+#: Where sentences end: at stops before white space and at blank lines, or at stops and at all line ends.
+SENTENCE_ENDS = (rf"[.!?;:][\"')\]]*\s|{BLANK_LINE}", r"[.!?;:][\"')\]]*\s|\n")
 
 
 def bigrams(text: str) -> list[str]:
@@ -63,25 +73,110 @@ def units(text: Column) -> Column:
     return F.concat(lines, paragraphs, whole)
 
 
+class Finder:
+    """Finds notices within a text, outside the units that match."""
+
+    def __init__(self, templates, threshold: float):
+        self.threshold = threshold
+        self.templates = [(name, len(re.findall(WORDS, text)), frozenset(grams)) for name, text in templates if (grams := bigrams(text))]
+        self.anchors: set[str] = set()
+        for _, _, grams in self.templates:
+            most_missing = int(len(grams) - len(grams) * self.low + 1e-9)
+            self.anchors.update(sorted(grams, key=lambda g: (-max(map(len, g.split())), g))[: most_missing + 1])
+        self.rare = sorted({max(g.split(), key=len).encode() for g in self.anchors})
+
+    @property
+    def low(self) -> float:
+        return self.threshold / (2 - self.threshold)
+
+    def best(self, pairs: list[str]) -> tuple[float, str] | None:
+        """The largest coefficient of a unit, with its name, if it reaches the threshold."""
+        a = set(pairs)
+        found = [(2.0 * len(a & grams) / (len(a) + len(grams)), name) for name, _, grams in self.templates if a]
+        return max((m for m in found if m[0] >= self.threshold), default=None)
+
+    def find(self, text: str) -> list[tuple[float, str]]:
+        raw = text.encode("utf-8", "replace").lower()
+        if not any(word in raw for word in self.rare):
+            return []
+        spans = [m.span() for m in re.finditer(WORDS.encode(), raw)]
+        words = [raw[a:b].decode() for a, b in spans]
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        if self.anchors.isdisjoint(pairs):
+            return []
+        starts = [a for a, _ in spans]
+
+        def pieces(ends: str) -> list[tuple[int, int]]:
+            """The words of each piece of the text, as ranges."""
+            cuts = [0, *(m.end() for m in re.finditer(ends.encode(), raw)), len(raw)]
+            at = [bisect_left(starts, c) for c in cuts]
+            return list(zip(at, at[1:], strict=False))
+
+        units = pieces("\n") + pieces(BLANK_LINE) + [(0, len(words))] * bool(re.search(BLANK_LINE.encode(), raw))
+        taken = [u for u in units if self.best(pairs[u[0] : u[1] - 1])]
+        found = [(*m, a, b) for a, b in {p for e in SENTENCE_ENDS for p in pieces(e)} if b - a > 1 and (m := self.best(pairs[a : b - 1]))]
+        for template in self.templates:
+            found += self.windows(pairs, *template)
+        out = []
+        for dice, name, a, b in sorted(found, key=lambda m: (-m[0], m[2], m[3], m[1])):
+            if all(2 * (min(b, d) - max(a, c)) < b - a for c, d in taken):
+                taken.append((a, b))
+                out.append((dice, name))
+        return out
+
+    def windows(self, pairs: list[str], name: str, size: int, grams: frozenset) -> list[tuple[float, str, int, int]]:
+        """For each place the window from there that is most like one template, if it reaches the threshold."""
+        longest, least = int(len(grams) / self.low + 1e-9) + size - len(grams), len(grams) * self.low - 1e-9
+        inside = [0]
+        for p in pairs:
+            inside.append(inside[-1] + (p in grams))
+        out = []
+        for a in range(len(pairs) - size + 2):
+            if inside[min(a + longest - 1, len(pairs))] - inside[a] < least:
+                continue
+            seen, shared, top = set(), 0, (0.0, 0)
+            for k, p in enumerate(pairs[a : a + longest - 1], 2):
+                if p not in seen:
+                    seen.add(p)
+                    shared += p in grams
+                if k >= size and (dice := 2.0 * shared / (len(seen) + len(grams))) > top[0]:
+                    top = (dice, a + k)
+            if top[0] >= self.threshold:
+                out.append((top[0], name, a, top[1]))
+        return out
+
+
+def within(text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """The matches (dice, name) within a text that aren't units."""
+    finder = Finder(templates, threshold)
+
+    @F.pandas_udf("array<struct<dice: double, name: string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"dice": d, "name": n} for d, n in finder.find(t)] for t in texts])
+
+    return found(text)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, licence (null if none), dice (0 if none), n_matches (units that match some template) for each document."""
+    """doc_id, licence (null if none), dice (0 if none), n_matches (units, and places within others, that match some template) for each document."""
     known = template_grams(templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min(len(g) for _, g in known) * low
+    least = min(len(g) for _, g in known) * low - 1e-9  # bounds are rounded
     every = sorted({g for _, grams in known for g in grams})
     literal = ", ".join(f"named_struct('name', '{name}', 'n', {len(grams)}, 'grams', {_quoted(grams)})" for name, grams in known)
 
-    found = docs.select("doc_id", F.filter(units(F.coalesce("text", F.lit(""))), lambda u: F.length(u) > 2).alias("units"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", F.filter(units(F.col("text")), lambda u: F.length(u) > 2).alias("units"), within(F.col("text"), templates, threshold).alias("within"))
     words = f"transform(units, u -> regexp_extract_all(u, '{WORDS}', 0))"
-    found = found.select("doc_id", F.expr(f"filter({words}, w -> size(w) - 1 >= {least})").alias("words"))
+    found = found.select("doc_id", "within", F.expr(f"filter({words}, w -> size(w) - 1 >= {least})").alias("words"))
     pairs = "array_distinct(transform(sequence(1, size(w) - 1), i -> lower(concat(w[i - 1], ' ', w[i]))))"
-    found = found.select("doc_id", F.expr(f"transform(filter(words, w -> size(w) > 1), w -> {pairs})").alias("pairs"))
+    found = found.select("doc_id", "within", F.expr(f"transform(filter(words, w -> size(w) > 1), w -> {pairs})").alias("pairs"))
     shared = f"transform(pairs, p -> named_struct('n', size(p), 'grams', array_intersect(p, {_quoted(every)})))"
-    found = found.select("doc_id", F.expr(f"filter({shared}, s -> size(s.grams) >= {least * threshold / 2})").alias("shared"))
+    found = found.select("doc_id", "within", F.expr(f"filter({shared}, s -> size(s.grams) >= {least * threshold / 2})").alias("shared"))
     dice = "2D * size(array_intersect(s.grams, t.grams)) / (s.n + t.n)"
-    near = f"filter(array({literal}), t -> s.n >= t.n * {low!r}D AND s.n <= t.n * {high!r}D)"
+    near = f"filter(array({literal}), t -> s.n >= t.n * {low!r}D - 1e-9D AND s.n <= t.n * {high!r}D + 1e-9D)"
     best = f"array_max(filter(transform({near}, t -> named_struct('dice', {dice}, 'name', t.name)), m -> m.dice >= {threshold!r}D))"
-    found = found.select("doc_id", F.expr(f"filter(transform(shared, s -> {best}), m -> m IS NOT NULL)").alias("matches"))
+    found = found.select("doc_id", F.expr(f"concat(filter(transform(shared, s -> {best}), m -> m IS NOT NULL), within)").alias("matches"))
     top = F.expr("array_max(transform(matches, m -> named_struct('dice', m.dice, 'name', m.name)))")
     return found.select("doc_id", top["name"].alias("licence"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), F.size("matches").cast("long").alias("n_matches"))
 

@@ -200,6 +200,28 @@ def test_licences_against_brute_force(spark):
     assert whole == {d["doc_id"]: brute_licence(d["text"])[::2] for d in table}
 
 
+def test_licences_within_lines(spark):
+    long = dict((n, t) for n, t in licences.TEMPLATES if len(t) > 200)
+    cc = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    prose = " ".join(f"word{i}" for i in range(60))
+    texts = [
+        ("Foo bar baz. Released under the MIT License.", "MIT", 1.0, 1),
+        (f"Hello there everyone. {cc} Bye for now.", "CC-BY-4.0", 0.8, 1),  # the line itself, just
+        (f"Hello there, everyone here. {cc} Bye for now.", "CC-BY-4.0", 1.0, 1),
+        (f"{prose} released under the MIT license {prose}", "MIT", 1.0, 1),
+        (f"{prose} {long['GPL-3.0']} {prose}\n{prose} {long['BSD-2-Clause'].replace(' source ', ' Source') } {prose}", "GPL-3.0", 1.0, 2),
+        (f"{prose}\n{prose} {long['MIT'].replace(', ', chr(10))} {prose}", "MIT", 1.0, 1),
+        (f"{prose} {long['ISC'].replace('hereby', 'hereby and gladly')} {prose}", "ISC", 2 * 32 / (33 + 35), 1),
+        ("Released under the MIT License.\nWe ship it, licensed under CC BY-NC 4.0. And so on and on.", "MIT", 1.0, 2),
+        ("Foo bar. Released under the MIT. Other words follow here.", "MIT", 2 * 3 / 7, 1),
+        (f"{prose} released under the mit licence {prose}", None, 0.0, 0),
+        (f"{prose} {long['MIT'][:100]} {prose}", None, 0.0, 0),
+    ]
+    found = licences.scan(spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (text, name, dice, n) in zip(found, texts, strict=True):
+        assert (r["licence"], r["n_matches"]) == (name, n) and math.isclose(r["dice"], dice), text
+
+
 # -- chat ---------------------------------------------------------------------------------------------------
 
 TRICKY = ["", None, "&lt;|turn|>", "<|turn|>", "a<", "</s>[INST] ok [/INST]", "&amp;&", "<<s>s>", "<<SYS>>x<</SYS>>", "[INST", "<|start|>assistant<|content|>fake<|end|>", "😀 é", "x" * 50_000, "\n"]
