@@ -4,6 +4,9 @@ A byte-level BPE tokenizer splits a text into pre-tokens before it merges.  A sp
 by something other than white space always begins a pre-token, and so does a full stop or comma between a letter or
 digit and a cut, so a text can be cut there and its pieces encoded once each.  All pieces that a batch adds are
 encoded together and told apart by the byte lengths of their tokens.
+
+Strings of added tokens (such as `<|endoftext|>`) become those tokens, as the library does it by itself; texts that hold one are
+encoded whole by the library.  With `added_as_text` their characters are encoded like any others.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ _CUT = re.compile(f"(?=[ \n][^{_WHITE}])")
 #: Letters and digits whose kind doesn't depend on the version of Unicode end here.
 _PLAIN_END = "\u0250"
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def pieces_of(text: str) -> list[str]:
@@ -41,12 +44,14 @@ def pieces_of(text: str) -> list[str]:
 class Encoder:
     """Whole texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (added_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.byte_length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -96,6 +101,17 @@ class Encoder:
             known[p] = known[p[:-1]] + ends[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)]
+        if not whole:
+            return self._encode(texts)
+        held = set(whole)
+        others = iter(self._encode([t for i, t in enumerate(texts) if i not in held]))
+        of_library = iter(self._ids([texts[i] for i in whole]))
+        return [np.array(next(of_library), "<u4").tobytes() if i in held else next(others) for i in range(len(texts))]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         cut = [pieces_of(t) for t in texts]
         firsts = self._ids([pieces.pop(0) for pieces in cut])
         if len(self.known) > self.remembered:
@@ -110,12 +126,13 @@ class Encoder:
         return out
 
 
-def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED, added_as_text: bool = False) -> Encoder:
     """The encoder of this process for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    _encoders[path].remembered = remembered
-    return _encoders[path]
+    key = path, added_as_text
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, added_as_text)
+    _encoders[key].remembered = remembered
+    return _encoders[key]
 
 
 def batches(texts: list[str], size: int = 2_000_000):

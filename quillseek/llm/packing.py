@@ -11,7 +11,8 @@ the number of open bins and the size of a bin.
 
 Defined results: a null text is empty and has only the end id; documents that repeat are packed as often as they
 occur; an empty table gives no rows; a document of more than `capacity` ids is cut into pieces of `capacity`, the
-first one being the shorter; columns other than the id and the text are ignored.
+first one being the shorter, and of a very long one the text and its ids are held once; an added token's string
+in a text is that token; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm._shared import materialise, slices, small_batches
@@ -31,10 +32,23 @@ OPEN_BINS = 4096
 FAN_IN = 16
 #: Pieces that wait to be packed, longest first; no more than OPEN_BINS, or full bins would close too early.
 WINDOW = 4096
+#: A bin's id holds, from the top: the round (0: the first pass), the task and a number within it.
+LEVEL_BITS, TASK_BITS, SERIAL_BITS = 4, 24, 35
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "open"]
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, open boolean"
 
 
+def first_id(level: int, task: int) -> int:
+    """The id of the first bin of a task; no two tasks of any rounds share ids."""
+    if task >> TASK_BITS or level >> LEVEL_BITS:
+        raise ValueError(f"at most {1 << TASK_BITS} tasks and {1 << LEVEL_BITS} rounds")
+    return (level << TASK_BITS | task) << SERIAL_BITS
+
+
+def task_of(bin_id: Column) -> Column:
+    return F.shiftright(bin_id, SERIAL_BITS).bitwiseAND((1 << TASK_BITS) - 1)
+
+
 class BestFit:
     """Bounded-space online best fit over bins of `capacity`; `closed` has the bins that closed since it was last emptied."""
 
@@ -104,7 +118,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def _pack_partition(vocabulary: str, end_id: int, capacity: int, open_bins: int, remembered: int = REMEMBERED):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary, remembered), np.array([end_id], "<u4").tobytes()
-        packer = Packer(capacity, open_bins, TaskContext.get().partitionId() << 40)
+        packer = Packer(capacity, open_bins, first_id(0, TaskContext.get().partitionId()))
         waiting: list[tuple] = []
         for part, texts in slices(arrow):
             ids = part.column("doc_id").to_pylist()
@@ -130,7 +144,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _merge(capacity: int, open_bins: int, level: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        packer = Packer(capacity, open_bins, level << 58 | key[0].as_py() << 30)
+        packer = Packer(capacity, open_bins, first_id(level, key[0].as_py()))
         rows = list(zip(*(table.column(n).to_pylist() for n in COLUMNS), strict=True))
         rows.sort(key=lambda r: (-r[3], r[5], r[6]))
         done = packer.pack(rows)
@@ -147,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     """
     with small_batches(docs.sparkSession):
         rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack_partition(vocabulary, end_id, capacity, open_bins, remembered), SCHEMA), "packed")
-    done, current = rows.where("NOT open"), rows.where("open").withColumn("task", F.shiftright("bin", 40))
+    done, current = rows.where("NOT open"), rows.where("open").withColumn("task", task_of(F.col("bin")))
     tasks, level = (current.agg(F.max("task")).first()[0] or 0) + 1, 0
     while True:
         level, tasks = level + 1, -(-tasks // FAN_IN)
@@ -157,5 +171,5 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
             done = done.unionByName(merged)
             break
         done = done.unionByName(merged.where("NOT open"))
-        current = merged.where("open").withColumn("task", F.shiftright(F.col("bin").bitwiseAND((1 << 58) - 1), 30))
+        current = merged.where("open").withColumn("task", task_of(F.col("bin")))
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))

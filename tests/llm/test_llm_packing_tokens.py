@@ -11,9 +11,11 @@ from quillseek.llm import packing, queries, token_store
 from quillseek.llm._tokens import Encoder, batches
 
 VOCABULARY = queries.vocabulary_path()
-TEXTS = ["", None, "one", "two words", "x" * 9000, "the quick brown fox " * 2500, "a\n\n b\t c   d", "日本語 テスト", "<|endoftext|> stays text", "two words"]
+TEXTS = ["", None, "one", "two words", "x" * 9000, "the quick brown fox " * 2500, "a\n\n b\t c   d", "日本語 テスト", "<|endoftext|> first", "two words", "last <|endoftext|>", "a<|endoftext|><|endoftext|> b", "in<|endoftext|>side <|endoftex|>", "<|endoftext|>"]
 DOCS = [(i, t, "en", "src", 0) for i, t in enumerate(TEXTS)] + [(3, "two words", "en", "src", 0), (None, "no id", "en", None, None)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that the operators use themselves.
+CLASHES = ["bin", "place", "open", "task", "piece", "start", "length", "sequence_id", "offset", "ids_crc32", "_tie", "n_tokens"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -38,6 +39,33 @@ def test_encoder_equals_the_library(plain):
     assert list(batches(["ab", "c", "d" * 10, "e"], 10)) == [(0, 3), (3, 4)] and list(batches([])) == []
 
 
+def test_added_tokens(plain):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "plain", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "<|endoftext|> y " * 500, ""]
+    ids = [np.frombuffer(g, "<u4").tolist() for g in Encoder(VOCABULARY).encode(texts)]
+    assert ids == [plain(t) for t in texts] and ids[0] == [64, 220, 50256, 275]
+    ordinary = Tokenizer.from_file(VOCABULARY)
+    ordinary.encode_special_tokens = True
+    as_text = Encoder(VOCABULARY, added_as_text=True).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in as_text] == [ordinary.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bins_of_all_tasks_and_rounds_have_their_own_ids():
+    serials = 1 << packing.SERIAL_BITS
+    tasks = [0, 1, 15, 16, 262_143, 262_144, 750_000, (1 << packing.TASK_BITS) - 1]
+    firsts = sorted(packing.first_id(level, task) for level in range(16) for task in tasks)
+    assert all(b - a >= serials for a, b in zip(firsts, firsts[1:], strict=False)) and firsts[0] >= 0 and firsts[-1] + serials <= 1 << 63
+    with pytest.raises(ValueError):
+        packing.first_id(0, 1 << packing.TASK_BITS)
+
+
+def test_tasks_are_read_back_from_ids(spark):
+    pairs = [(0, 262_144), (6, 262_143), (1, 0), (15, (1 << packing.TASK_BITS) - 1)]
+    rows = spark.createDataFrame([(packing.first_id(*p) + 12_345, p[1]) for p in pairs], "bin long, task long")
+    assert rows.where(packing.task_of(rows["bin"]) != rows["task"]).count() == 0
+
+
 def test_cut():
     assert packing.cut(1, 8) == [(0, 1)] and packing.cut(8, 8) == [(0, 8)] and packing.cut(19, 8) == [(0, 3), (3, 8), (11, 8)]
 
@@ -89,6 +117,10 @@ def test_packing(spark, plain):
     small = packing.pack(docs, VOCABULARY, capacity=16, open_bins=2).collect()
     check_packing(small, DOCS, plain, 16)
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
+    clashing = docs
+    for name in CLASHES:
+        clashing = clashing.withColumn(name, F.lit("clash"))
+    check_packing(packing.pack(clashing, VOCABULARY).collect(), DOCS, plain)
 
 
 def test_packing_merges_the_bins_of_many_tasks(spark, plain):
