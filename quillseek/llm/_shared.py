@@ -10,13 +10,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than one in HOT_SHARE rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 500
+#: A filter of keys has at most 2^FILTER_BITS rows of 64 bits, whatever it was made from.
+FILTER_BITS = 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -70,18 +72,75 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Names that no column of df has in any case, one for each label."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for label in labels:
+        while label.lower() in taken:
+            label = "_" + label
+        taken.add(label.lower())
+        out.append(label)
+    return out
+
+
+def _mask(h: Column) -> Column:
+    def bit(at: int) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int"))
+
+    return bit(0).bitwiseOR(bit(6))
+
+
+def key_filter(hashes: Column, keys: DataFrame) -> DataFrame:
+    """A Bloom filter of 64-bit hashes as at most 2^FILTER_BITS rows (word, bits): two bits in one word for each hash."""
+    each = keys.select(hashes.alias("h")).select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("word"), _mask(F.col("h")).alias("bits"))
+    return each.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def split(docs: DataFrame, h: Column, keys: DataFrame, hashes: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose hash `h` may be one of keys' `hashes`, and the rows whose hash isn't.  No row of docs moves.
+
+    The filter is broadcast; it has a fixed size, so a table with very many keys only makes the first part longer than it need be.
+    """
+    own, word, bits = fresh(docs, "_hash", "_word", "_bits")
+    words = F.broadcast(key_filter(hashes, keys).withColumnsRenamed({"word": word, "bits": bits}))
+    probed = docs.withColumn(own, h).withColumn(word, F.shiftrightunsigned(own, 64 - FILTER_BITS))
+    hit = F.col(bits).bitwiseAND(_mask(F.col(own))) == _mask(F.col(own))
+    maybe = probed.join(words, word).where(hit)
+    others = probed.join(words, word, "left").where(~F.coalesce(hit, F.lit(False)))
+    return maybe.select(columns_of(docs)), others.select(columns_of(docs))
+
+
+def without(docs: DataFrame, gone: DataFrame, on: dict[str, Column], probe: tuple[Column, Column] | None = None) -> DataFrame:
+    """The rows of docs of which `on` gives no row of gone: gone's columns and what they are in docs; null equals null.
+
+    Only rows that pass a filter of gone's keys are shuffled; the others stay where they are read.  probe: a hash of the keys in
+    docs and in gone, where one is known that takes less work than hashing `on`.
+    """
+    own, theirs = probe or (F.xxhash64(*on.values()), F.xxhash64(*map(F.col, on)))
+    maybe, kept = split(docs, own, gone, theirs)
+    names = dict(zip(on, fresh(docs, *on), strict=True))
+    known = gone.select([F.col(n).alias(a) for n, a in names.items()])
+    same = [value.eqNullSafe(F.col(names[n])) for n, value in on.items()]
+    return kept.unionByName(maybe.join(known, same, "left_anti"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have few rows, else df as it is: a shuffle join then."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
     """left join right, where right has one row per key and `weight` rows of left have that key.
 
-    The hot keys, fewer than HOT_SHARE, are broadcast; the rest is joined by a shuffle, in which no key
-    has more than one in HOT_SHARE rows.  Keys may not be null.
+    The hot keys, fewer than `share`, are broadcast; the rest is joined by a shuffle, in which no key
+    has more than one in `share` rows.  Keys may not be null.
     """
-    limit = max(1, total // HOT_SHARE)
+    limit = max(1, total // share)
     hot = right.where(F.col(weight) > limit)
     cold = right.where(F.col(weight) <= limit)
     keys = F.broadcast(hot.select(*on))

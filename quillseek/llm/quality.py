@@ -1,33 +1,34 @@
 """A quality classifier by importance resampling.
 
 Two generative models over hashed words and word pairs are counted: a target model from documents labelled good and a raw
-model from all documents.  A document's importance weight is the ratio of its probabilities under the two, taken per
-feature (long documents would otherwise outweigh the models' errors by their length) and sharpened by a temperature.
-Adding Gumbel noise, fixed by the id, and keeping the k largest keys draws k documents without replacement in
-proportion to their weights (Gumbel top-k).  The raw counts cover every document; only the labelled rows may be a sample, of
-about MAX_LABELLED rows chosen by the hash of their ids.
+model from all documents.  A document's importance weight is the ratio of its probabilities under the two: the log of that
+ratio is the sum over its features of their log ratios.  It is scaled to a document of 1 / TEMPERATURE features, as long
+documents would otherwise outweigh the models' errors by their length.  Adding Gumbel noise, fixed by the id, and keeping the k
+largest keys draws k documents without replacement in proportion to their weights (Gumbel top-k).  The raw counts cover
+every document; only the labelled rows may be a sample, of about MAX_LABELLED rows chosen by the hash of their ids.
 
-One half of the labelled ids makes the target model.  The other half, which the model hasn't seen, says how many
-documents to draw: k is the number of keys at or above a cut, and the cut is the one that separates the held-out
-keys best while letting through at least KEEP_GOOD of the good ones.  The k-th key is therefore a threshold and nothing
-is sorted; `top_k` finds the threshold of a given k by histograms.
+One half of the labelled ids makes the target model.  The other half, which the model hasn't seen, says how many documents to
+draw: k is the number of documents whose weight, without noise, reaches the one that separates the held-out documents best
+while letting through at least KEEP_GOOD of the good ones.  The k-th key is found by histograms; nothing is sorted.
 
 Defined results: a text without words (null, empty) has no evidence for or against it: weight 0; null ids share
-one noise; rows that repeat are scored alike; ids with contradicting labels count as unlabelled; without good labels every
-document stays; an empty table gives an empty result; other columns pass through `keep_good`.
+one noise; rows that repeat are scored alike and drawn together, as are rows whose keys tie with the k-th; ids with contradicting labels count as
+unlabelled; without good labels every document stays; of a very long text all words count; an empty table gives an empty result;
+other columns, whatever their names, pass through `keep_good`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillseek.llm import _ngrams
-from quillseek.llm._shared import materialise, slices, small, small_batches
+from quillseek.llm._shared import SLICE_ROWS, columns_of, fresh, materialise, slices, small_batches
 
 #: Buckets of the models: 2^BITS.
 BITS = 16
@@ -57,16 +58,20 @@ def _count_partition(bits: int):
     return run
 
 
+def _weights(texts: list[str], ratios: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each text and its number of features."""
+    buckets, counts = _ngrams.features(texts, bits)
+    total, some = np.zeros(len(texts)), np.flatnonzero(counts)
+    if len(some):
+        total[some] = np.add.reduceat(ratios[buckets], np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
+    return total / (counts + NEUTRAL), counts
+
+
 def _score_partition(ratios, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratios.value
         for part, texts in slices(batches):
-            weight = np.zeros(len(texts))
-            buckets, counts = _ngrams.features(texts, bits)
-            some = np.flatnonzero(counts)
-            if len(some):
-                weight[some] = np.add.reduceat(table[buckets], np.concatenate([[0], np.cumsum(counts[some])[:-1]]))
-            columns = [part.column("doc_id"), part.column("good"), part.column("fit"), pa.array(weight / (counts + NEUTRAL)), pa.array(counts.astype(np.int64))]
+            weight, counts = _weights(texts, ratios.value, bits)
+            columns = [part.column("doc_id"), part.column("good"), part.column("fit"), pa.array(weight), pa.array(counts.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "fit", "weight", "n_features"])
 
     return run
@@ -104,22 +109,28 @@ def log_ratios(docs: DataFrame, bits: int = BITS) -> np.ndarray | None:
     return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
-def score(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, good and fit (or null), weight (log ratio per feature), n_features, key: the tempered weight with its Gumbel noise."""
+def key_of(weight: Column, doc_id: Column) -> Column:
+    """The tempered weight with its Gumbel noise."""
+    return weight / TEMPERATURE + noise(doc_id)
+
+
+def score(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, good and fit (or null), weight (log ratio per feature), n_features, key for each document; and the log ratios by bucket."""
     sample = labelled(labels)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left")
     with small_batches(docs.sparkSession):
         ratios = log_ratios(known, bits)
-        held = docs.sparkSession.sparkContext.broadcast(np.zeros(1 << bits) if ratios is None else ratios)
+        ratios = np.zeros(1 << bits) if ratios is None else ratios
+        held = docs.sparkSession.sparkContext.broadcast(ratios)
         schema = "doc_id long, good int, fit boolean, weight double, n_features long"
         scored = known.select("doc_id", "text", "good", "fit").mapInArrow(_score_partition(held, bits), schema)
-        return materialise(scored.withColumn("key", F.col("weight") / TEMPERATURE + noise(F.col("doc_id"))), "scored")
+        return materialise(scored.withColumn("key", key_of(F.col("weight"), F.col("doc_id"))), "scored"), ratios
 
 
-def cut(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
-    """The key that separates held-out documents best, with at least keep_good of the good ones at or above it."""
-    known = scored.where("NOT fit").select("good", "key").toPandas()  # bounded by MAX_LABELLED
-    good, bad = np.sort(known.loc[known["good"] == 1, "key"].to_numpy()), np.sort(known.loc[known["good"] != 1, "key"].to_numpy())
+def boundary(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
+    """The weight that separates held-out documents best, with at least keep_good of the good ones at or above it."""
+    known = scored.where("NOT fit").select("good", "weight").toPandas()  # bounded by MAX_LABELLED
+    good, bad = np.sort(known.loc[known["good"] == 1, "weight"].to_numpy()), np.sort(known.loc[known["good"] != 1, "weight"].to_numpy())
     if not len(good) or not len(bad):
         return -np.inf
     allowed = good[: int((1 - keep_good) * len(good)) + 1]
@@ -147,17 +158,47 @@ def top_k(scored: DataFrame, k: int, steps: int = 64, fan: int = 256) -> float:
     return low
 
 
+@dataclass
+class Draw:
+    """Every document's key, the log ratios of the model, how many documents are drawn and the smallest key that is."""
+
+    scored: DataFrame
+    ratios: np.ndarray
+    k: int
+    lowest: float
+
+
+def draw(docs: DataFrame, labels: DataFrame) -> Draw:
+    """k documents without replacement: those with the k largest keys."""
+    scored, ratios = score(docs, labels)
+    at = boundary(scored)
+    k = scored.where(F.col("weight") >= F.lit(at)).count()
+    return Draw(scored, ratios, k, top_k(scored, k) if k else np.inf)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, weight, n_features, key, kept for each document."""
-    scored = score(docs, labels)
-    at = cut(scored)
-    return scored.select("doc_id", "weight", "n_features", "key", (F.col("key") >= F.lit(at)).alias("kept"))
+    drawn = draw(docs, labels)
+    return drawn.scored.select("doc_id", "weight", "n_features", "key", (F.col("key") >= F.lit(drawn.lowest)).alias("kept"))
+
+
+def weight_of(spark: SparkSession, ratios: np.ndarray, bits: int = BITS):
+    """A function of texts: their weights, as `score` has them."""
+    held = spark.sparkContext.broadcast(ratios)
+
+    @F.arrow_udf("double")
+    def weights(texts: pa.Array) -> pa.Array:
+        found = []
+        for start in range(0, len(texts), SLICE_ROWS):
+            found.append(_weights([t or "" for t in texts.slice(start, SLICE_ROWS).to_pylist()], held.value, bits)[0])
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return weights
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are drawn, with all their columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rejected = materialise(
-        classify(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__rejected")), "rejected"
-    )
-    return docs.join(small(rejected), F.col("doc_id") == F.col("__rejected"), "left_anti").select(columns)
+    """The documents that are drawn, with all their columns: each row is weighed again where it is read, and none moves."""
+    drawn = draw(docs, labels)
+    (name,) = fresh(docs, "_weight")
+    weighed = docs.withColumn(name, weight_of(docs.sparkSession, drawn.ratios)(F.col("text")))
+    return weighed.where(key_of(F.col(name), F.col("doc_id").cast("long")) >= F.lit(drawn.lowest)).select(columns_of(docs))

@@ -14,7 +14,8 @@ Copies have one fingerprint and are one row from the start.
 Defined results: a text without words (null, empty) has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle has one shingle, all its words; ties and repeated rows are all returned, each with its
 component; the component's id is the smallest non-null id in it; `keep_one` keeps the row of that id and, of rows that
-repeat it, one; it keeps rows with a null id and ids whose rows are in several components; an empty table gives an empty result; other columns pass through `keep_one`.
+repeat it, one; it keeps rows with a null id and ids whose rows are in several components; a very long text is hashed whole, with
+no more than BATCH_CHARS of other texts at once; an empty table gives an empty result; other columns, whatever their names, pass through `keep_one`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillseek.llm._graph import _forest, components
-from quillseek.llm._shared import join_hot, materialise, slices, small, small_batches
+from quillseek.llm._shared import columns_of, fresh, join_hot, materialise, slices, small_batches, split, without
 
 SHINGLE = 3
 SEED = 42
@@ -181,8 +182,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
     linked = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     linked = materialise(linked, "linked-prints")
     ids = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("prints"))
-    several = ids.where("prints > 1").select("component", "component_id", "group_size")
-    named = linked.join(several, "component", "left").select(
+    several = materialise(ids.where("prints > 1"), "several-prints")
+    inside = several.agg(F.sum("prints")).first()[0] or 0
+    named = join_hot(linked, several, ["component"], "prints", inside).select(
         "fp", "n", F.when(F.col("group_size").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group_size", "n").alias("group_size")
     )
     named = materialise(named, "named-prints")
@@ -196,12 +198,15 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) ->
         found.groupBy("doc_id").agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"), F.count("*").alias("rows"), F.count_distinct("component_id").alias("kinds")),
         "near-ids",
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    is_id = F.col("doc_id") == F.col("__id")
-    gone = ids.where("gone AND kinds < 2 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(small(gone), is_id, "left_anti")
-    odd = ids.where("NOT gone AND rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
+    own_id = F.col("doc_id").cast("long")
+    gone = ids.where("gone AND kinds < 2 AND doc_id IS NOT NULL").select("doc_id")
+    kept = without(docs, gone, {"doc_id": own_id})
+    odd = ids.where("NOT gone AND rows > 1 AND doc_id IS NOT NULL").select("doc_id")
     if odd.isEmpty():
         return kept
-    once = kept.join(small(odd), is_id, "left_semi").groupBy("doc_id").agg(F.first(F.struct(*columns)).alias("__one")).select("__one.*")
-    return kept.join(small(odd), is_id, "left_anti").unionByName(once)
+    known, row = fresh(docs, "_known", "_one")
+    probe = F.xxhash64(own_id)
+    maybe, _ = split(kept, probe, odd, F.xxhash64("doc_id"))
+    once = maybe.join(odd.select(F.col("doc_id").alias(known)), own_id == F.col(known), "left_semi")
+    once = once.groupBy(own_id.alias(known)).agg(F.first(F.struct(columns_of(docs))).alias(row)).select(F.col(f"{row}.*"))
+    return without(kept, odd, {"doc_id": own_id}).unionByName(once)

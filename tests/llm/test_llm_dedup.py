@@ -84,11 +84,70 @@ def test_exact_kept(spark):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0 and exact_dedup.groups(docs.limit(0)).count() == 0
 
 
-def test_directory_splits_overfull_buckets():
-    cells = {0: 30, 1: 1, 4: 5, 7: 5}
-    slots = exact_dedup.directory(cells, bucket_keys=10, depth=3)
-    assert slots == [0, 1, 2, 2, 4, 4, 4, 4] and exact_dedup.directory(cells, 100, 3) == [0] * 8
-    assert exact_dedup.directory({}, 10, 3) == [0] * 8
+def keys_frame(spark, leading):
+    """Distinct keys with the given three leading bits, numbered in the next eight."""
+    rows = [(lead << 61) + (i << 53) for lead, n in leading.items() for i in range(n)]
+    return spark.createDataFrame([(k - (1 << 64) if k >> 63 else k, 1) for k in rows], "key long, n long")
+
+
+def test_directory_doubles_while_a_slot_is_overfull(spark):
+    leading = {0: 30, 1: 1, 4: 5, 7: 5}
+    found = {n: exact_dedup.directory(keys_frame(spark, leading), bucket_keys=n) for n in (10, 30, 100)}
+    assert {n: depth for n, (depth, _) in found.items()} == {10: 8, 30: 3, 100: 0}
+    assert sorted(map(tuple, found[30][1].collect())) == [(0, 0, 30), (1, 1, 1), (4, 4, 10), (7, 4, 10)]
+    assert list(map(tuple, found[100][1].collect())) == [(0, 0, 41)]
+    buckets = {r["bucket"]: r["n"] for r in found[10][1].collect()}
+    assert sum(buckets.values()) == 41 and max(buckets.values()) == 10 and sorted(buckets.values())[-4:] == [8, 8, 8, 10]
+    assert exact_dedup.directory(keys_frame(spark, {}))[1].count() == 0
+
+
+def test_directory_has_no_limit_of_twelve_doublings(spark):
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 40_000, dtype=np.int64))
+    frame = spark.createDataFrame([(int(k), 1) for k in keys], "key long, n long")
+    depth, slots = exact_dedup.directory(frame, bucket_keys=2)
+    rows = slots.collect()
+    assert depth > 12 and max(r["n"] for r in rows) <= 2
+    unsigned = np.sort(keys.view(np.uint64))
+    held = {int(r["bucket"]): r["n"] for r in rows}
+    bucket = {r["slot"]: r["bucket"] for r in rows}
+    counts: dict = {}
+    for k in unsigned.tolist():
+        counts[bucket[k >> (64 - depth)]] = counts.get(bucket[k >> (64 - depth)], 0) + 1
+    assert counts == held
+
+
+def test_lookups_go_through_the_directory(spark):
+    rows = [(i, f"text {i % 50}") for i in range(200)]
+    index = exact_dedup.build(docs_of(spark, rows), bucket_keys=5)
+    assert index.depth >= 3 and {r["group_size"] for r in index.result().collect()} == {4}
+    index.slots = index.slots.withColumn("bucket", index.slots["bucket"] + 1)
+    assert {r["group_size"] for r in index.result().collect()} == {1}, "another bucket has no entry"
+
+
+def test_index_chains_texts_that_share_a_key(spark):
+    index = exact_dedup.build(docs_of(spark, ROWS), bits=2, bucket_keys=2)
+    entries = index.entries.collect()
+    chains: dict = {}
+    for r in entries:
+        chains.setdefault((r["bucket"], r["key"]), []).append((r["chain"], bytes(r["sha"])))
+    assert all(len({c for c, _ in v}) == len({s for _, s in v}) == len(v) for v in chains.values()) and len(entries) > len(chains)
+
+
+def test_equal_digests_of_different_texts_are_an_error(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.sha2(F.substring(norm, 1, 4), 256)))
+    monkeypatch.setattr(exact_dedup, "key_of", lambda norm, bits=64: F.xxhash64(F.substring(norm, 1, 4)))
+    with pytest.raises(Exception, match="share a key"):
+        exact_dedup.build(docs_of(spark, [(1, "same one"), (2, "same two")])).result().collect()
+
+
+def test_a_text_with_very_many_copies(spark):
+    rows = [(i, "hot") for i in range(3000)] + [(2999, "hot"), (2999, "HOT")] + [(5000 + i, f"t{i // 2}") for i in range(60)]
+    docs = docs_of(spark, rows)
+    kept = exact_dedup.drop_copies(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [2999, *range(5001, 5060, 2)]
 
 
 def fingerprint(text, width=3):

@@ -24,6 +24,33 @@ def test_only_small_sides_are_broadcast(spark):
     assert hinted(_shared.small(rows, 50)) and not hinted(_shared.small(rows, 49))
 
 
+def test_rows_leave_without_moving_the_others(spark):
+    docs = spark.range(20_000).select((F.col("id") % 10_000).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(1).alias("_word"), F.lit(2).alias("_bits"), F.lit(3).alias("_hash"))
+    docs = docs.unionByName(spark.createDataFrame([(None, None, 1, 2, 3)], "doc_id long, text string, _word int, _bits int, _hash int"))
+    gone = spark.createDataFrame([(i,) for i in range(0, 1000, 10)] + [(None,), (10_000_000,)], "doc_id long")
+    maybe, others = _shared.split(docs, F.xxhash64("doc_id"), gone, F.xxhash64("doc_id"))
+    assert 201 <= maybe.count() < 400 and maybe.count() + others.count() == 20_001 and maybe.columns == others.columns == docs.columns
+    left = _shared.without(docs, gone, {"doc_id": F.col("doc_id")})
+    assert left.columns == docs.columns and left.count() == 19_800
+    assert left.where("doc_id IS NULL OR doc_id % 10 = 0 AND doc_id < 1000").isEmpty()
+    assert _shared.without(docs, gone.limit(0), {"doc_id": F.col("doc_id")}).count() == 20_001
+    assert _shared.without(docs.limit(0), gone, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def test_a_filter_has_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "FILTER_BITS", 6)
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    assert _shared.key_filter(F.col("h"), keys).count() == 64
+    docs = spark.range(10_000)
+    assert sorted(r[0] for r in _shared.without(docs, docs.where("id % 3 = 0"), {"id": F.col("id")}).collect()) == [i for i in range(10_000) if i % 3]
+
+
+def test_fresh_names(spark):
+    df = spark.range(1).select(F.lit(1).alias("_A"), F.lit(2).alias("__a"), F.lit(3).alias("x`y.z"))
+    assert _shared.fresh(df, "_a", "b", "b") == ["___a", "b", "_b"]
+    assert df.select(_shared.columns_of(df)).columns == df.columns
+
+
 def test_materialised_tables_can_be_forgotten(spark):
     df = _shared.materialise(spark.range(10), "t")
     files = df.inputFiles()

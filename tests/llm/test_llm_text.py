@@ -38,12 +38,16 @@ def test_query_against_sql(spark, duck, name):
 # -- mixing -------------------------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets([100, 100], [1, 1]) == [150.0, 150.0]
-    assert mixing.targets([10, 1000], [3, 1]) == [20.0, 1495.0]
-    assert mixing.targets([], []) == [] and mixing.targets([0, 10], [3, 1]) == [0.0, 15.0]
+def test_targets(spark):
+    def targets(sizes, weights):
+        frame = spark.createDataFrame(list(zip(range(len(sizes)), sizes, map(float, weights), strict=True)), "i int, n long, w double")
+        return [r["target"] for r in mixing._targets(frame, mixing.BUDGET, mixing.MOST).orderBy("i").collect()]
+
+    assert targets([100, 100], [1, 1]) == [150.0, 150.0]
+    assert targets([10, 1000], [3, 1]) == [20.0, 1495.0]
+    assert targets([], []) == [] and targets([0, 10], [3, 1]) == [0.0, 15.0]
     sizes, weights = [5, 50, 500, 5000, 50], [3, 1, 2, 3, 1]
-    got = mixing.targets(sizes, weights)
+    got = targets(sizes, weights)
     assert math.isclose(sum(got), 1.5 * sum(sizes)) and all(t <= 2 * n for t, n in zip(got, sizes, strict=True))
 
 
@@ -139,9 +143,31 @@ def test_weights_against_brute_force(spark):
         if i in sample and sample[i]["good"] and sample[i]["fit"]:
             np.add.at(target, b, 1)
     ratio = np.log((target + quality.SMOOTHING) / (raw * target.sum() / raw.sum() + quality.SMOOTHING))
+    weights = {i: ratio[b].sum() / (len(b) + quality.NEUTRAL) for i, b in buckets.items()}
+    # The lowest weight at which few enough held-out good documents are lost and the fewest bad ones pass.
+    held = [(weights[i], r["good"]) for i, r in sample.items() if i in weights and not r["fit"]]
+    good, bad = [w for w, g in held if g], [w for w, g in held if not g]
+    costs = [(sum(w < at for w in good) / len(good) + sum(w >= at for w in bad) / len(bad), at) for at in sorted(good) if sum(w < at for w in good) <= (1 - quality.KEEP_GOOD) * len(good)]
+    k = sum(w >= min(costs)[1] - 1e-12 for w in weights.values())
+    noises = {r["doc_id"]: r["noise"] for r in docs.select("doc_id", quality.noise(F.col("doc_id")).alias("noise")).collect()}
+    keys = {i: w / quality.TEMPERATURE + noises[i] for i, w in weights.items()}
+    drawn = set(sorted(keys, key=keys.get, reverse=True)[:k])
+    assert 0 < k < len(rows)
     for r in quality.classify(docs, frame).collect():
-        b = buckets[r["doc_id"]]
-        assert r["n_features"] == len(b) and math.isclose(r["weight"], ratio[b].sum() / (len(b) + quality.NEUTRAL), rel_tol=1e-9, abs_tol=1e-12)
+        i = r["doc_id"]
+        assert r["n_features"] == len(buckets[i]) and math.isclose(r["weight"], weights[i], rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r["key"], keys[i], rel_tol=1e-9) and r["kept"] == (i in drawn)
+    assert {r["doc_id"] for r in quality.keep_good(docs, frame).collect()} == drawn
+
+
+def test_weights_do_not_depend_on_the_batch(spark):
+    rows = [(i, "word " * n, "x" * 50_000 if i == 3 else "y") for i, n in enumerate([0, 1, 700, 40_000, 3, 9])]
+    ratios = np.random.default_rng(2).standard_normal(1 << quality.BITS)
+    texts = [t for _, t, _ in rows] + [f"w{i} w{i * 7 % 31}" for i in range(600)]
+    together = quality._weights(texts, ratios, quality.BITS)[0]
+    assert [quality._weights([t], ratios, quality.BITS)[0][0] for t in texts] == together.tolist()
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", quality.weight_of(spark, ratios)(F.col("text")).alias("w")).orderBy("i")
+    assert [r["w"] for r in found.collect()] == together.tolist()
 
 
 def test_sample_of_labels_is_bounded(spark):
