@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint64) + 1
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that aren't ASCII letters or digits.
+NOT_ALPHANUMERIC = np.array([not (chr(b).isalnum() and b < 128) for b in range(256)])
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -38,11 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the A-Z-lower-cased words of all texts in order, and the number of words of each text."""
+def words(texts: list[str], outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the A-Z-lower-cased words of all texts in order, and the number of words of each text.  outside: which bytes
+    are between words; a space is one of them."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     buffer = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    edges = np.flatnonzero(np.diff(_SPACE[buffer].view(np.int8)))
+    edges = np.flatnonzero(np.diff(outside[buffer].view(np.int8)))
     starts, stops = edges[0::2] + 1, edges[1::2] + 1
     n = len(buffer)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[buffer] * _powers_of(_BASE, n), dtype=np.uint64)])
@@ -52,6 +55,15 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+def pairs(texts: list[str], outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all pairs of adjacent words, and the text that each is in."""
+    one, counts = words(texts, outside)
+    text = np.repeat(np.arange(len(texts)), counts)
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    with np.errstate(over="ignore"):
+        return mix(one[inner] * np.uint64(0x9E3779B97F4A7C15) + one[inner + 1]), text[inner]
+
+
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets (of 2^bits) of all words and word pairs, text by text: words first, then pairs; the number of features of each text."""
     one, counts = words(texts)

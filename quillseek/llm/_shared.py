@@ -123,10 +123,11 @@ def without(docs: DataFrame, gone: DataFrame, on: dict[str, Column], probe: tupl
     """
     own, theirs = probe or (F.xxhash64(*on.values()), F.xxhash64(*map(F.col, on)))
     maybe, kept = split(docs, own, gone, theirs)
-    names = dict(zip(on, fresh(docs, *on), strict=True))
-    known = gone.select([F.col(n).alias(a) for n, a in names.items()])
-    same = [value.eqNullSafe(F.col(names[n])) for n, value in on.items()]
-    return kept.unionByName(maybe.join(known, same, "left_anti"))
+    *names, found = fresh(docs, *on, "_found")
+    known = gone.select([F.col(n).alias(a) for n, a in zip(on, names, strict=True)]).distinct().withColumn(found, F.lit(True))
+    same = [value.eqNullSafe(F.col(a)) for a, value in zip(names, on.values(), strict=True)]
+    # Not an anti join: the optimizer moves those below the filter's join, where all rows would be shuffled.
+    return kept.unionByName(maybe.join(known, same, "left").where(F.col(found).isNull()).select(columns_of(docs)))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -153,6 +154,11 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def ascii_lower_text(column):
+    """The same for a plain column of long texts: most of them are ASCII only, where lower() does it faster."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(ascii_lower(column))
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     """While it lasts, Spark sends few rows at once to Python: texts can be long, and both sides hold a batch."""

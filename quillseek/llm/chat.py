@@ -5,11 +5,12 @@ blocks are concatenated.  A block is START role CONTENT text (TURN text)* END, s
 told apart again.  Control strings inside roles and texts, the template's own and those of common chat
 formats, are escaped by an entity at their first character; every `&` is an entity too, which makes that reversible.
 
-The loss mask is a list of spans, in code points of the formatted text: the escaped text of each assistant turn.
+The loss mask is a list of spans, in code points of the formatted text: the escaped text of each assistant turn.  Their places
+are running sums over the lengths of a conversation's turns, in the partition that has it already.
 
 Defined results: null texts and roles are empty strings; turns are ordered by turn (null first), ties by role and then
 text; rows that repeat are turns that repeat; null conversation ids form one conversation; an empty table
-gives an empty result; other columns are ignored.  A conversation is one row of the result, so its
+gives an empty result; a very long text is one span; other columns, whatever their names, are ignored.  A conversation is one row of the result, so its
 turns meet in one task.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, CONTENT, TURN, END = "<|start|>", "<|content|>", "<|turn|>", "<|end|>"
 #: Control strings and their escaped forms, in the order of replacement.
@@ -69,27 +71,27 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def body(b: Column) -> Column:
         return F.concat(F.lit(START), b["mark"], F.lit(CONTENT), F.array_join(b["texts"], TURN), F.lit(END))
 
-    def spans(at: Column, b: Column) -> Column:
-        """The block's place and, after it, the spans of its texts."""
-        first = at + F.lit(len(START) + len(CONTENT)) + F.length(b["mark"])
-        return F.aggregate(
+    def sizes(b: Column) -> Column:
+        """For each text of a block how much is between it and the one before, its length, and what is after it in its block."""
+        head = F.lit(len(START) + len(CONTENT)) + F.length(b["mark"])
+        return F.transform(
             b["texts"],
-            F.struct(first.cast("long").alias("at"), F.expr("cast(array() AS array<struct<start: bigint, length: bigint>>)").alias("spans")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x) + len(TURN)).cast("long").alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(x).cast("long").alias("length")))).alias("spans"),
+            lambda x, i: F.struct(
+                F.when(i == 0, head).otherwise(len(TURN)).cast("long").alias("before"),
+                F.length(x).cast("long").alias("length"),
+                F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).cast("long").alias("after"),
+                (b["role"] == LOSS_ROLE).alias("loss"),
             ),
         )
 
-    def step(acc: Column, b: Column) -> Column:
-        inner = spans(acc["at"], b)
-        return F.struct(
-            (acc["at"] + F.length(body(b))).cast("long").alias("at"),
-            F.concat(acc["spans"], F.when(b["role"] == LOSS_ROLE, inner["spans"]).otherwise(F.expr("cast(array() AS array<struct<start: bigint, length: bigint>>)"))).alias("spans"),
-        )
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() AS array<struct<start: bigint, length: bigint>>)").alias("spans"))
-    return escaped.select("conv_id", F.array_join(F.transform("blocks", body), "").alias("formatted"), F.aggregate("blocks", zero, step)["spans"].alias("loss_spans"))
+    parts = escaped.select("conv_id", F.flatten(F.transform("blocks", sizes)).alias("sizes"), F.array_join(F.transform("blocks", body), "").alias("formatted"))
+    # The whole text goes with the first of its turns; the others are numbers.
+    turn = F.transform("sizes", lambda x, i: F.struct(x.alias("x"), i.alias("at"), F.when(i == 0, F.col("formatted")).alias("formatted")))
+    each = parts.select("conv_id", F.explode(turn).alias("turn")).select("conv_id", "turn.at", "turn.x.*", "turn.formatted")
+    upto = F.sum(F.col("before") + F.col("length") + F.col("after")).over(Window.partitionBy("conv_id").orderBy("at"))
+    span = F.struct((upto - F.col("after") - F.col("length")).alias("start"), F.col("length"))
+    spans = each.select("conv_id", "formatted", F.when(F.col("loss"), span).alias("span"))
+    return spans.groupBy("conv_id").agg(F.first("formatted", True).alias("formatted"), F.array_sort(F.collect_list("span")).alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:

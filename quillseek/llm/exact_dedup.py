@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillseek.llm._shared import HOT_SHARE, ascii_lower, columns_of, fresh, join_hot, materialise, small, split, without
+from quillseek.llm._shared import HOT_SHARE, ascii_lower_text, columns_of, fresh, join_hot, materialise, small, split, without
 
 #: Distinct keys in a bucket, at most.
 BUCKET_KEYS = 50_000
@@ -41,7 +41,7 @@ MAX_DEPTH = 62
 
 
 def normalised(text: str | Column = "text") -> Column:
-    return ascii_lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.coalesce(ascii_lower_text(F.col(text) if isinstance(text, str) else text), F.lit(""))
 
 
 def digest_of(norm: Column) -> Column:
@@ -167,5 +167,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha, known_id, known_sha, row = fresh(docs, "_sha", "_known_id", "_known_sha", "_one")
     maybe = maybe.withColumn(sha, digest_of(norm)).groupBy(own_id, sha).agg(F.first(F.struct(columns_of(docs))).alias(row))
     known = repeated.select(F.col("_id").alias(known_id), F.col("sha").alias(known_sha))
-    one = maybe.join(known, own_id.eqNullSafe(F.col(known_id)) & (F.col(sha) == F.col(known_sha)), "left_semi").select(F.col(f"{row}.*"))
+    one = maybe.join(known.distinct(), own_id.eqNullSafe(F.col(known_id)) & (F.col(sha) == F.col(known_sha))).select(F.col(f"{row}.*"))
     return kept.unionByName(one)

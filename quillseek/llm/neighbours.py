@@ -3,36 +3,38 @@
 Equal vectors are one node from the start.  Neighbour lists are seeded from random hyperplanes: nodes with the same
 signs in a table share a bucket, and a task compares the nodes of a bucket.  Then the lists are refined: in each
 round some nodes are hosts, each host gathers the vectors on its list (neighbours of neighbours meet there) and compares
-all of them, and every pair at or above the list's floor enters the lists of both.  Hosts are the nodes that have the
-smallest hash of this round on their own list, so hosts of one cluster hardly overlap, and every other node sits on
-some host's list.  A list that is longer than the round's limit is saturated; its limit doubles in the next
-round.  Rounds end when they hardly find anything new and no list is saturated.  The vectors of a large bucket
-or list are dealt to blocks, and every two blocks meet in a group of their own, whichever task has it.
+all of them, and what is nearer than what a list has enters it.  Hosts are the nodes that have the smallest hash of this
+round on their own list, so hosts of one cluster hardly overlap.  A list holds the nearest that were found, LIST at first; one
+that is saturated, full of links, has twice the room in the next round.
+
+Wherever vectors meet, whether in a bucket, on a host or in two blocks of either, all links among them are seen, and a spanning
+forest of them is kept: no more rows than vectors, however dense the group.  So lists and forests are bounded by
+the nodes, and the components of the forests are those of all links that were seen.  A vector's links lie within its component;
+they are counted, not listed, by comparing the vectors of each component, block by block.
 
 The number of tables follows from the number of signs, so that two vectors at exactly the threshold, which may have no
 other neighbour that could lead from one to the other, share a bucket with probability SEEDED at any size.  An audit
 then compares a bounded sample of nodes, chosen uniformly, with all nodes; if the recall of their links, averaged
-over the nodes that have links, is below TARGET, more tables are seeded and refinement goes on; after MAX_AUDITS failures all blocks of the table are
-compared, which takes time in proportion to its square.  Cosines are computed in double precision
-wherever two vectors meet, so the edges at or above the threshold are exact when they are kept.
+over the nodes that have links, is below TARGET, more tables are seeded and refinement goes on; after MAX_AUDITS failures all
+blocks of the table are compared, which takes time in proportion to its square.  Cosines are computed in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
 do vectors of different lengths with each other; null ids are kept as rows; repeated rows count as copies of
-each other; an empty table gives an empty result; other columns are ignored.
+each other; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import count as count_up
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillseek.llm._graph import components
-from quillseek.llm._shared import forget, join_hot, materialise, small
+from quillseek.llm._graph import components, contract
+from quillseek.llm._shared import join_hot, materialise
 
 THRESHOLD = 0.95
 #: Pairs below this cosine don't enter the lists: they can't lead from a vector to one that it links with in one step.
@@ -43,18 +45,18 @@ TABLES = 16
 SEEDED = 0.999
 #: Nodes in a bucket, about: fewer signs need fewer tables, and tables move vectors.
 BUCKET = 128
-#: Vectors that a host gathers in the first round.
-LIST = 256
-#: Rounds, at most, unless lists are saturated.
-MAX_ROUNDS = 8
-#: A round that adds a smaller share of links is the last if no list is saturated.
+#: Entries of a list in the first round.
+LIST = 16
+#: Rounds of refinement after each seeding, at most; audits follow.
+MAX_ROUNDS = 4
+#: A round that adds a smaller share of links to the lists is the last.
 SETTLED = 0.0005
 #: Nodes that an audit compares with all nodes.
 AUDIT_NODES = 2048
 TARGET = 0.995
 MAX_AUDITS = 4
 #: Rows that are compared at once; groups of more than two blocks are dealt to several.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def valid(column: str = "embedding"):
@@ -120,32 +122,101 @@ def _blocks(size: Column) -> Column:
     return F.ceil(size / F.lit(2 * BLOCK)).cast("long")
 
 
-def _pairs(left: pd.DataFrame, right: pd.DataFrame, floor: float) -> Iterator[pd.DataFrame]:
-    """All pairs of one group (left is right), or of one row from each side, at or above floor, block by block."""
-    same = left is right
-    (ni, x), (nj, y) = [(r[["nid", "n"]].to_numpy(), _unit(r["embedding"].to_numpy())) for r in (left, right)]
+Group = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _group_of(rows: pd.DataFrame) -> Group:
+    """nid, n and unit vectors."""
+    return rows["nid"].to_numpy(), rows["n"].to_numpy(), _unit(rows["embedding"].to_numpy())
+
+
+def _cosines(left: Group, right: Group) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The cosines of two groups, or of a group with itself (left is right), block by block; none of a row with itself."""
+    same, x, y = left is right, left[2], right[2]
     for i in range(0, len(x), BLOCK):
         for j in range(i if same else 0, len(y), BLOCK):
             cos = x[i : i + BLOCK] @ y[j : j + BLOCK].T
-            a, b = np.nonzero(cos >= floor)
-            if same:
-                keep = a + i < b + j
-                a, b = a[keep], b[keep]
-            if len(a):
-                p, q = ni[a + i], nj[b + j]
-                yield pd.DataFrame({"a": p[:, 0], "b": q[:, 0], "na": p[:, 1], "nb": q[:, 1], "cos": cos[a, b]})
+            if same and i == j:
+                np.fill_diagonal(cos, -2.0)
+            yield i, j, cos
+
+
+def _nearest(cos: np.ndarray, floor: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the `most` largest entries of each row that reach floor."""
+    if cos.shape[1] > most:
+        top = np.argpartition(cos, -most, axis=1)[:, -most:]
+        a, k = np.nonzero(np.take_along_axis(cos, top, 1) >= floor)
+        return a, top[a, k]
+    return np.nonzero(cos >= floor)
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, breadth-first, of the graph with this symmetric matrix."""
+    left = near.any(axis=1)
+    parents, children = [], []
+    while left.any():
+        frontier = np.array([left.argmax()])
+        left[frontier] = False
+        while len(frontier):
+            rows = near[frontier] & left
+            found = np.flatnonzero(rows.any(axis=0))
+            parents.append(frontier[rows[:, found].argmax(axis=0)])
+            children.append(found)
+            left[found] = False
+            frontier = found
+    return np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(children or [np.zeros(0, np.int64)])
+
+
+LISTED = "a long, b long, cos double, link boolean"
+
+
+def _lists(floor: float, threshold: float, most: int):
+    """For each row of a group the `most` nearest (link: false), and a forest of all links of the group (link: true)."""
+
+    def run(left: Group, right: Group) -> Iterator[pd.DataFrame]:
+        same = left is right
+        n, width = len(left[0]), len(left[0]) if same else len(left[0]) + len(right[0])
+        ids = left[0] if same else np.concatenate([left[0], right[0]])
+        near = np.zeros((width, width), bool)
+        for i, j, cos in _cosines(left, right):
+            for rows, columns, values in ((i, j, cos), (j, i, cos.T)):
+                a, b = _nearest(values, floor, most)
+                if len(a):
+                    own, other = (left[0], right[0]) if values is cos else (right[0], left[0])
+                    yield pd.DataFrame({"a": own[a + rows], "b": other[b + columns], "cos": values[a, b], "link": False})
+                if same and i == j:
+                    break
+            j += 0 if same else n
+            linked = cos >= threshold
+            near[i : i + cos.shape[0], j : j + cos.shape[1]] |= linked
+            near[j : j + cos.shape[1], i : i + cos.shape[0]] |= linked.T
+        a, b = _spanning(near)
+        if len(a):
+            yield pd.DataFrame({"a": ids[a], "b": ids[b], "cos": 1.0, "link": True})
+
+    return run
+
 
+def _degrees(threshold: float):
+    """For each row of a group how many rows, copies counted, it links with."""
 
-def _ordered(frame: pd.DataFrame) -> pd.DataFrame:
-    swap = frame["a"].to_numpy() > frame["b"].to_numpy()
-    for p, q in (("a", "b"), ("na", "nb")):
-        x, y = frame[p].to_numpy(), frame[q].to_numpy()
-        frame[p], frame[q] = np.where(swap, y, x), np.where(swap, x, y)
-    return frame
+    def run(left: Group, right: Group) -> Iterator[pd.DataFrame]:
+        same = left is right
+        sums = [np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)]
+        for i, j, cos in _cosines(left, right):
+            near = cos >= threshold
+            sums[0][i : i + BLOCK] += near @ right[1][j : j + BLOCK]
+            if not same or i != j:
+                sums[1][j : j + BLOCK] += near.T @ left[1][i : i + BLOCK]
+        total = [sums[0] + sums[1]] if same else sums
+        for (ids, *_), links in zip((left, right), total, strict=False):
+            yield pd.DataFrame({"nid": ids[links > 0], "links": links[links > 0]})
+
+    return run
 
 
-def _compare_groups(floor: float):
-    """Rows come sorted by group; all rows of one group are compared."""
+def _compare_groups(visit: Callable[[Group, Group], Iterator[pd.DataFrame]]):
+    """Rows come sorted by group; all rows of one group are visited."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -166,59 +237,72 @@ def _compare_groups(floor: float):
 
     def compare(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(held) if len(held) > 1 else held[0]
+        if len(rows) < 2:
+            return
         if not rows["part"].iat[0]:
-            left = right = rows
+            own = _group_of(rows)
+            yield from visit(own, own)
         else:
             left, right = rows[rows["part"] == 1], rows[rows["part"] == 2]
-        if len(left) and len(right) and len(rows) > 1:
-            for found in _pairs(left, right, floor):
-                yield _ordered(found)
+            if len(left) and len(right):
+                yield from visit(_group_of(left), _group_of(right))
 
     return run
 
 
-EDGES = "a long, b long, na long, nb long, cos double"
-
-
-def _seed(nodes: DataFrame, tables: range, bits: int, partitions: int) -> DataFrame:
+def _seed(nodes: DataFrame, tables: range, bits: int, partitions: int, threshold: float = THRESHOLD) -> DataFrame:
     cells = nodes.mapInPandas(_bucket_partition(tables, bits), f"cell string, nid long, n long, embedding {nodes.schema['embedding'].dataType.simpleString()}")
     sizes = nodes.mapInPandas(_cell_sizes(tables, bits), "cell string, size long").groupBy("cell").agg(F.sum("size").alias("size"))
-    large = materialise(sizes.where(F.col("size") > 2 * BLOCK).select("cell", _blocks(F.col("size")).alias("blocks")), "large-cells")
-    cells = cells.withColumn("blocks", F.lit(1).cast("long")) if large.isEmpty() else cells.join(small(large), "cell", "left").fillna(1, ["blocks"])
-    return _dealt(cells, "cell", partitions).mapInPandas(_compare_groups(FLOOR), EDGES)
+    large = materialise(sizes.where(F.col("size") > 2 * BLOCK).select("cell", _blocks(F.col("size")).alias("blocks"), "size"), "large-cells")
+    cells = cells.withColumn("blocks", F.lit(1).cast("long")) if large.isEmpty() else _sized(cells, large, "cell")
+    return _dealt(cells, "cell", partitions).mapInPandas(_compare_groups(_lists(FLOOR, threshold, LIST)), LISTED)
 
 
-def _refine(nodes: DataFrame, edges: DataFrame, round_no: int, partitions: int) -> DataFrame:
-    """The pairs that meet on the lists of this round's hosts."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rank = lambda c: F.xxhash64(c, F.lit(round_no))
-    lowest = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low"), F.count("*").alias("listed")).where(rank(F.col("a")) < F.col("low"))
-    limit = LIST << round_no
-    hosts = lowest.select(F.col("a").alias("host"), "listed", _blocks(F.least("listed", F.lit(limit)) + 1).alias("blocks"))
-    share = F.pmod(F.xxhash64("b", "a", F.lit(round_no)), F.lit(1 << 30)) * F.col("listed") < F.lit(limit << 30)
-    lists = hosts.join(both.withColumnRenamed("a", "host"), "host").withColumnRenamed("host", "a").where(share).select(F.col("a").alias("host"), F.col("b").alias("nid"), "blocks")
-    lists = lists.unionByName(hosts.select("host", F.col("host").alias("nid"), "blocks"))
-    gathered = lists.join(nodes, "nid").select("host", "nid", "n", "embedding", "blocks")
-    return _dealt(gathered, "host", partitions).mapInPandas(_compare_groups(FLOOR), EDGES)
+def _sized(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """rows with the number of blocks of their key, 1 where sizes doesn't have it."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return join_hot(rows, sizes, [key], "size", total).fillna(1, ["blocks"]).drop("size")
 
 
-def _longest(edges: DataFrame) -> int:
-    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
-    return ends.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+def _trimmed(entries: DataFrame, most: int) -> DataFrame:
+    """The `most` nearest of each list."""
+    distinct = entries.groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    near = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    return distinct.withColumn("place", F.row_number().over(near)).where(F.col("place") <= most).drop("place")
 
 
-def _all_pairs(nodes: DataFrame, threshold: float, partitions: int) -> DataFrame:
+def _refine(nodes: DataFrame, lists: DataFrame, round_no: int, partitions: int, threshold: float = THRESHOLD) -> DataFrame:
+    """What meets on the lists of this round's hosts: their own entries and those whose entry they are."""
+    rank = lambda c: F.xxhash64(c, F.lit(round_no))
+    most = LIST << round_no
+    lowest = lists.groupBy("a").agg(F.min(rank(F.col("b"))).alias("low")).where(rank(F.col("a")) < F.col("low"))
+    hosts = lowest.select(F.col("a").alias("host"))
+    back = _trimmed(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"), most)
+    both = lists.select("a", "b").unionByName(back.select("a", "b")).distinct()
+    members = hosts.join(both.withColumnRenamed("a", "host"), "host").select("host", F.col("b").alias("nid")).unionByName(hosts.select("host", F.col("host").alias("nid")))
+    # A list and its reverse have at most 2 * most entries.
+    members = members.withColumn("blocks", F.lit(max(1, -(-(2 * most + 1) // (2 * BLOCK)))).cast("long"))
+    gathered = members.join(nodes, "nid").select("host", "nid", "n", "embedding", "blocks")
+    return _dealt(gathered, "host", partitions).mapInPandas(_compare_groups(_lists(FLOOR, threshold, 2 * most)), LISTED)
+
+
+def _all_blocks(nodes: DataFrame, partitions: int) -> DataFrame:
     sized = nodes.withColumn("dim", F.size("embedding"))
     sizes = sized.groupBy("dim").agg(F.count("*").alias("rows")).select("dim", _blocks(F.col("rows")).alias("blocks"))
-    return _dealt(sized.join(F.broadcast(sizes), "dim"), "dim", partitions).mapInPandas(_compare_groups(threshold), EDGES)
+    return _dealt(sized.join(F.broadcast(sizes), "dim"), "dim", partitions)
 
 
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("cos").alias("cos"))
+def _links_within(nodes: DataFrame, comp: DataFrame, partitions: int, threshold: float) -> DataFrame:
+    """nid, links: how many rows each node links with, by comparing the nodes of each component."""
+    members = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "nid")
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", _blocks(F.col("size")))
+    sizes = materialise(sizes, "component-sizes")
+    rows = _sized(nodes.join(members, "nid"), sizes, "component")
+    return _dealt(rows, "component", partitions).mapInPandas(_compare_groups(_degrees(threshold)), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, size: int) -> float:
-    """The share of its links that edges has, averaged over those of `size` nodes, chosen by hash, that have links."""
+def _audit(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> float:
+    """The share of its links that `links` (nid, links) counts, averaged over those of `size` nodes, chosen by hash, that have links."""
     n = nodes.count()
     chosen = nodes.where(F.pmod(F.xxhash64("nid", F.lit("audit")), F.lit(1 << 30)) * F.lit(n) < F.lit(size << 30)).select("nid", "embedding").toPandas()
     if not len(chosen):
@@ -230,46 +314,54 @@ def _audit(nodes: DataFrame, edges: DataFrame, threshold: float, size: int) -> f
             for dim, ids, x in sample:
                 part = frame[frame["embedding"].map(len) == dim]
                 for i in range(0, len(part), BLOCK):
-                    block = part[i : i + BLOCK]
-                    near = x @ _unit(block["embedding"].to_numpy()).T >= threshold
-                    near &= ids[:, None] != block["nid"].to_numpy()[None, :]
-                    links = near.sum(axis=1)
-                    yield pd.DataFrame({"nid": ids[links > 0], "links": links[links > 0]})
+                    nid, copies, y = _group_of(part[i : i + BLOCK])
+                    near = (x @ y.T >= threshold) & (ids[:, None] != nid[None, :])
+                    found = near @ copies
+                    yield pd.DataFrame({"nid": ids[found > 0], "links": found[found > 0]})
 
     truth = nodes.mapInPandas(count, "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links")).toPandas()
     if not len(truth):
         return 1.0
-    linked = edges.where(F.col("cos") >= threshold)
     ids = nodes.sparkSession.createDataFrame([(int(i),) for i in truth["nid"]], "nid long")
-    ends = linked.select(F.col("a").alias("nid")).unionByName(linked.select(F.col("b").alias("nid"))).join(F.broadcast(ids), "nid")
-    have = ends.groupBy("nid").agg(F.count("*").alias("have")).toPandas()
+    have = links.join(F.broadcast(ids), "nid").select("nid", F.col("links").alias("have")).toPandas()
     both = truth.merge(have, "left", "nid").fillna({"have": 0})
     return float((both["have"] / both["links"]).mean())
 
 
-def graph(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """nodes: nid, n, embedding (distinct, valid).  The links a < b with na, nb and cos, and the audited recall."""
+def _forest_of(entries: DataFrame, before: DataFrame | None) -> DataFrame:
+    found = entries.where("link").select("a", "b")
+    return materialise(contract(found if before is None else before.unionByName(found)).distinct(), "forest")
+
+
+def graph(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, float]:
+    """nodes: nid, n, embedding (distinct, valid).  node and component of the nodes that link with others, each one's number
+    of links, and the audited recall."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = nodes.count()
-    bits = bits_for(count)
+    bits = bits_for(nodes.count())
     tables = tables_for(bits, threshold)
-    edges, recall = None, 0.0
+    lists = forest = None
     for audit in range(MAX_AUDITS):
-        seeded = _seed(nodes, range(audit * tables, (audit + 1) * tables), bits, partitions)
-        edges = materialise(_distinct(seeded if edges is None else edges.unionByName(seeded)), "edges")
-        have = edges.where(F.col("cos") >= threshold).count()
-        for turn in count_up():
-            refined = materialise(_distinct(edges.unionByName(_refine(nodes, edges, turn, partitions))), "edges")
-            forget(edges)
-            edges, before = refined, have
-            have = edges.where(F.col("cos") >= threshold).count()
-            if (have - before <= SETTLED * have or turn + 1 >= MAX_ROUNDS) and _longest(edges) <= LIST << turn:
+        seeded = materialise(_seed(nodes, range(audit * tables, (audit + 1) * tables), bits, partitions, threshold), "seeded")
+        forest = _forest_of(seeded, forest)
+        entries = seeded.where("NOT link").select("a", "b", "cos")
+        lists = materialise(_trimmed(entries if lists is None else lists.unionByName(entries), LIST), "lists")
+        have = lists.where(F.col("cos") >= threshold).count()
+        for turn in range(MAX_ROUNDS):
+            met = materialise(_refine(nodes, lists, turn, partitions, threshold), "met")
+            forest = _forest_of(met, forest)
+            lists = materialise(_trimmed(lists.unionByName(met.where("NOT link").select("a", "b", "cos")), LIST << turn + 1), "lists")
+            before, have = have, lists.where(F.col("cos") >= threshold).count()
+            if have - before <= SETTLED * have:
                 break
-        recall = _audit(nodes, edges, threshold, AUDIT_NODES)
+        comp = components(forest)
+        links = materialise(_links_within(nodes, comp, partitions, threshold), "links")
+        recall = _audit(nodes, links, threshold, AUDIT_NODES)
         if recall >= TARGET:
-            return edges.where(F.col("cos") >= threshold), recall
-    forget(edges)
-    return materialise(_all_pairs(nodes, threshold, partitions), "edges"), 1.0
+            return comp, links, recall
+    every = _all_blocks(nodes, partitions)
+    comp = components(every.mapInPandas(_compare_groups(_lists(2.0, threshold, 1)), LISTED).where("link").select("a", "b"))
+    links = every.mapInPandas(_compare_groups(_degrees(threshold)), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
+    return comp, materialise(links, "links"), 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -279,13 +371,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = whole.groupBy("h", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     total = rows.count()
-    links, _ = graph(nodes.select("nid", "n", "embedding"), threshold)
-    ends = links.select(F.col("a").alias("nid"), F.col("nb").alias("m")).unionByName(links.select(F.col("b").alias("nid"), F.col("na").alias("m")))
-    degree = ends.groupBy("nid").agg(F.sum("m").alias("others"))
-    comp = components(links.select("a", "b")).withColumnRenamed("node", "nid")
-    known = materialise(nodes.drop("embedding").join(degree, "nid", "left").join(comp, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "node-links")
-    ids = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node = known.join(ids, "component").select("nid", "h", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    comp, links, _ = graph(nodes.select("nid", "n", "embedding"), threshold)
+    comp = comp.withColumnRenamed("node", "nid")
+    known = materialise(nodes.drop("embedding").join(links, "nid", "left").join(comp, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "node-links")
+    ids = materialise(known.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "component-ids")
+    named = join_hot(known, ids, ["component"], "members", total, "inner")
+    of_node = named.select("nid", "h", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     named = materialise(nodes.select("nid", "embedding").join(of_node, "nid").drop("nid"), "named-vectors")
     joined = join_hot(whole, named, ["h", "embedding"], "n", total).select("vec_id", "n_links", "component_id")
     rest = rows.where("embedding IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -207,6 +207,6 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) ->
     known, row = fresh(docs, "_known", "_one")
     probe = F.xxhash64(own_id)
     maybe, _ = split(kept, probe, odd, F.xxhash64("doc_id"))
-    once = maybe.join(odd.select(F.col("doc_id").alias(known)), own_id == F.col(known), "left_semi")
-    once = once.groupBy(own_id.alias(known)).agg(F.first(F.struct(columns_of(docs))).alias(row)).select(F.col(f"{row}.*"))
+    once = maybe.join(odd.select(F.col("doc_id").alias(known)), own_id == F.col(known))
+    once = once.groupBy(known).agg(F.first(F.struct(columns_of(docs))).alias(row)).select(F.col(f"{row}.*"))
     return without(kept, odd, {"doc_id": own_id}).unionByName(once)

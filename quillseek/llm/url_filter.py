@@ -10,7 +10,8 @@ Rules are matched once per distinct host, so neither a large rule list nor a hos
 moves more than its pages.
 
 Defined results: a null URL, or one without `://`, has empty host and path and no aliases, and fits no rule; pages
-that repeat are judged alike; null html names nothing; an empty table gives an empty result; other columns are ignored.
+that repeat are judged alike; null html names nothing; very long pages are searched whole; an empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -104,8 +105,10 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     aliases = materialise(components(edges_of(pages)), "aliases")
     nodes = materialise(aliases.select("node", "component").unionByName(aliases.select(F.col("component").alias("node"), "component")).distinct(), "nodes")
     judged = match(nodes.withColumn("host", host_of(F.col("node"))).withColumn("path", path_of(F.col("node"))), rules)
-    blocked = judged.groupBy("component").agg(F.max(F.coalesce(F.col("rule_verdict") == "block", F.lit(False))).alias("blocked"))
-    states = nodes.join(blocked, "component").select("node", "component", "blocked")
+    is_blocked = F.coalesce(F.col("rule_verdict") == "block", F.lit(False))
+    blocked = materialise(judged.groupBy("component").agg(F.max(is_blocked).alias("blocked"), F.count("*").alias("members")), "blocked")
+    members = blocked.agg(F.sum("members")).first()[0] or 0
+    states = join_hot(nodes, blocked, ["component"], "members", members, "inner").select("node", "component", "blocked")
     # Pages of one URL can be many; the URLs with aliases are joined with the hot ones on the side.
     counts = urls.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"))
     weighted = materialise(states.join(counts, "node"), "alias-states")

@@ -264,7 +264,42 @@ def test_long_lists_are_enlarged(spark, monkeypatch):
     centre = rng.standard_normal(24)
     rows = [(i, (centre + 0.02 * rng.standard_normal(24)).astype(np.float32).tolist()) for i in range(120)]
     found = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert sum(r["n_links"] for r in found) >= 0.99 * 120 * 119 and {r["component_id"] for r in found} == {0}
+    assert {r["n_links"] for r in found} == {119} and {r["component_id"] for r in found} == {0}
+
+
+def test_a_cluster_beyond_every_limit_is_whole(spark, monkeypatch):
+    for name, value in (("LIST", 4), ("TABLES", 2), ("BLOCK", 16), ("BUCKET", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        rng = np.random.default_rng(9)
+        centre = rng.standard_normal(24)
+        rows = [(centre + 0.12 * rng.standard_normal(24)).tolist() for _ in range(300)] + [rng.standard_normal(24).tolist() for _ in range(50)]
+        x = np.array(rows)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+        table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(5)
+        found = {r["vec_id"]: r for r in neighbours.near_duplicates(table).collect()}
+        assert 0 < near.sum() < 299 * 300
+        assert [found[i]["n_links"] for i in range(len(rows))] == near.sum(axis=1).tolist()
+        assert [found[i]["component_id"] for i in range(len(rows))] == union_find(len(rows), np.argwhere(near).tolist())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_dense_groups_give_no_more_rows_than_vectors():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(16) + 0.01 * rng.standard_normal((500, 16))
+    group = (np.arange(500), np.ones(500, np.int64), x / np.linalg.norm(x, axis=1, keepdims=True))
+    import pandas as pd
+
+    found = pd.concat(neighbours._lists(0.8, 0.95, 10)(group, group))
+    assert (~found["link"]).sum() == 5000 and found["link"].sum() == 499
+    half = tuple(v[:200] for v in group), tuple(v[200:] for v in group)
+    found = pd.concat(neighbours._lists(0.8, 0.95, 10)(*half))
+    assert found["link"].sum() == 499 and (~found["link"]).sum() == 5000
+    counted = pd.concat([*neighbours._degrees(0.95)(*half), *neighbours._degrees(0.95)(half[0], half[0]), *neighbours._degrees(0.95)(half[1], half[1])])
+    assert (counted.groupby("nid")["links"].sum() == 499).all()
 
 
 @pytest.mark.parametrize("count", [100, 80_000, 1_000_000, 10_000_000, 1_000_000_000])
@@ -282,10 +317,10 @@ def test_audit_sees_lost_pairs_beside_a_large_group(spark):
         a = rng.standard_normal(64)
         rows += [a, a + 0.01 * rng.standard_normal(64)]
     nodes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rows)], "nid long, n long, embedding array<double>")
-    group = [(a, b, 1, 1, 1.0) for b in range(200) for a in range(b)]
-    pairs = [(a, a + 1, 1, 1, 1.0) for a in range(200, 240, 2)]
-    assert neighbours._audit(nodes, spark.createDataFrame(group, neighbours.EDGES), 0.95, 2048) == pytest.approx(200 / 240)
-    assert neighbours._audit(nodes, spark.createDataFrame(group + pairs, neighbours.EDGES), 0.95, 2048) == 1
+    group = [(a, 199) for a in range(200)]
+    pairs = [(a, 1) for a in range(200, 240)]
+    assert neighbours._audit(nodes, spark.createDataFrame(group, "nid long, links long"), 0.95, 2048) == pytest.approx(200 / 240)
+    assert neighbours._audit(nodes, spark.createDataFrame(group + pairs, "nid long, links long"), 0.95, 2048) == 1
 
 
 def dense_group(spark, size):
@@ -297,6 +332,7 @@ def dense_group(spark, size):
 
 def test_all_blocks_of_a_large_bucket_meet(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "LIST", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     try:
         nodes = dense_group(spark, 150)
@@ -308,7 +344,7 @@ def test_all_blocks_of_a_large_bucket_meet(spark, monkeypatch):
             for cells in side(iter([frame])):
                 for _, cell in cells.groupby("cell"):
                     ids = sorted(cell["nid"])
-                    expected.update((a, b) for b in ids for a in ids if a < b)
+                    expected.update((a, b) for b in ids for a in ids if a != b)
         assert {(r["a"], r["b"]) for r in seeded.collect()} == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -317,18 +353,18 @@ def test_all_blocks_of_a_large_bucket_meet(spark, monkeypatch):
 def test_links_are_whole_when_audits_fail(spark, monkeypatch):
     """Nothing is seeded, so nothing is refined: the audit sees it and all blocks are compared."""
     monkeypatch.setattr(neighbours, "BLOCK", 16)
-    monkeypatch.setattr(neighbours, "_seed", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.EDGES))
-    links, recall = neighbours.graph(dense_group(spark, 120))
-    assert recall == 1 and {(r["a"], r["b"]) for r in links.collect()} == {(a, b) for b in range(120) for a in range(b)} and links.count() == 60 * 119
+    monkeypatch.setattr(neighbours, "_seed", lambda nodes, *_: nodes.sparkSession.createDataFrame([], neighbours.LISTED))
+    comp, links, recall = neighbours.graph(dense_group(spark, 120))
+    assert recall == 1 and {(r["nid"], r["links"]) for r in links.collect()} == {(i, 119) for i in range(120)}
+    assert {(r["node"], r["component"]) for r in comp.collect()} == {(i, 0) for i in range(1, 120)}
 
 
-def test_rounds_go_on_while_lists_are_saturated(spark, monkeypatch):
-    """No round finds anything new, but hosts see whole lists only when the limit has doubled often enough."""
+def test_saturated_lists_have_twice_the_room_in_the_next_round(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LIST", 4)
-    limits, refine = [], neighbours._refine
-    monkeypatch.setattr(neighbours, "_refine", lambda nodes, edges, turn, n: limits.append(4 << turn) or refine(nodes, edges, turn, n))
+    longest, trimmed = [], neighbours._trimmed
+    monkeypatch.setattr(neighbours, "_trimmed", lambda entries, most: longest.append(most) or trimmed(entries, most))
     neighbours.graph(dense_group(spark, 100))
-    assert limits[-1] >= 99
+    assert {4, 8, 16} <= set(longest)
 
 
 def test_queries_run(spark):

@@ -37,6 +37,25 @@ def test_rows_leave_without_moving_the_others(spark):
     assert _shared.without(docs.limit(0), gone, {"doc_id": F.col("doc_id")}).count() == 0
 
 
+def test_only_rows_that_pass_the_filter_are_joined(spark):
+    """The join with the keys is above the one with the filter, so its exchange has no other rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+        gone = _shared.materialise(spark.range(0, 5000, 50).select(F.col("id").alias("doc_id")), "gone")
+        left = _shared.without(docs, gone, {"doc_id": F.col("doc_id")})
+        lines = left._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [line.lstrip(" :+-") for line in lines if "Join " in line]
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines if "Join " in line]
+        at = next(i for i, j in enumerate(joins) if "<=>" in j)
+        below = next(i for i, j in enumerate(joins) if j.startswith("Join Inner") and "_word" in j)
+        assert below > at and depth[below] > depth[at] and left.count() == 4900
+        moved = left._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" not in moved
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_filter_has_a_bounded_number_of_rows(spark, monkeypatch):
     monkeypatch.setattr(_shared, "FILTER_BITS", 6)
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"))

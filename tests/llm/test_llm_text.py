@@ -248,6 +248,39 @@ def test_licences_within_lines(spark):
         assert (r["licence"], r["n_matches"]) == (name, n) and math.isclose(r["dice"], dice), text
 
 
+def test_whole_licences_by_version(spark):
+    texts = dict(licences.whole_texts())
+    prose = " ".join(f"word{i}" for i in range(400))
+    rows = []
+    for name, text in texts.items():
+        rows += [(name, text), (name, f"{prose}\n{text}\n{prose}"), (name, "\n".join(f" * {line}" for line in text.splitlines())), (name, " ".join(text.split()))]
+    assert len(texts) >= 14
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    # A licence text may hold a notice word for word, which is a match of its own.
+    notices = {name for name, _ in licences.TEMPLATES}
+    for r, (name, text) in zip(found, rows, strict=True):
+        finder = licences.Finder((), licences.whole_texts())
+        assert r["n_matches"] >= 1 and max(finder.find(text))[1] == name, name
+        assert r["licence"] == name or (r["licence"] in notices and r["dice"] >= 0.8), (r["licence"], name)
+
+
+def test_notices_by_version(spark):
+    rows = [(name, text) for name, text in licences.TEMPLATES]
+    found = licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licence"] for r in found] == [name for name, _ in rows] and {r["dice"] for r in found} == {1.0}
+
+
+def test_texts_that_may_match_are_all_compared():
+    finder = licences.Finder(licences.TEMPLATES, licences.whole_texts())
+    rng = np.random.default_rng(4)
+    for name, text in [*licences.TEMPLATES, *licences.whole_texts()]:
+        words = text.split()
+        for share in (1.0, 0.95, 0.9):
+            kept = " ".join(w for w in words if rng.random() < share)
+            if finder.find(kept):
+                assert finder.possible(["x", kept, ""]).tolist() == [False, True, False], name
+
+
 # -- chat ---------------------------------------------------------------------------------------------------
 
 TRICKY = ["", None, "&lt;|turn|>", "<|turn|>", "a<", "</s>[INST] ok [/INST]", "&amp;&", "<<s>s>", "<<SYS>>x<</SYS>>", "[INST", "<|start|>assistant<|content|>fake<|end|>", "😀 é", "x" * 50_000, "\n"]
@@ -308,3 +341,49 @@ def test_rules_and_aliases(spark):
     edges = {(r["a"], r["b"]) for r in url_filter.edges_of(frame).collect()}
     assert ("http://plain.de/", "http://plain.de/other") in edges and ("http://rel.de/a/b", "http://rel.de/a/c?d=1&e=2") in edges
     assert url_filter.judge(frame.limit(0), url_filter.rules_frame(spark)).count() == 0
+
+
+def test_aliases_against_brute_force(spark):
+    """Canonical links, refreshes, relative and chained targets, over random pages."""
+    from urllib.parse import urljoin
+
+    rng = np.random.default_rng(12)
+    hosts = ["a.com", "www.example.com", "b.net", "example.net", "c.org", "d.de", "e.de", "f.fr"]
+    paths = ["/", "/en/1", "/en/7", "/de/8", "/es/2", "/x/y", "/x/z"]
+    pick = lambda values: values[rng.integers(len(values))]
+    rows, links = [], []
+    for i in range(300):
+        url = f"http://{pick(hosts)}{pick(paths)}?k={rng.integers(6)}"
+        kind, target = rng.integers(6), pick([f"http://{pick(hosts)}{pick(paths)}?k={rng.integers(6)}", pick(paths), "y?a=1&amp;b=2", f"//{pick(hosts)}/es/2"])
+        html = None
+        if kind == 0:
+            html = f"<html><head><link rel='canonical' href='{target}'></head>"
+        elif kind == 1:
+            html = f'<META content="5; URL={target}" HTTP-EQUIV="refresh">'
+        elif kind == 2:
+            html = f"<link rel=stylesheet href={target}><p>canonical</p>"
+        if kind < 2:
+            links.append((url, urljoin(url, target.replace("&amp;", "&"))))
+        rows.append((i, url, html))
+
+    def rule_of(url):
+        host, _, rest = url.partition("://")[2].partition("/")
+        path = ("/" + rest).split("?")[0]
+        fits = [(len(h + p), v == "allow", h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2:] if fits else (None, None)
+
+    groups = {u: {u} for pair in links for u in pair}
+    for a, b in links:
+        whole = groups[a] | groups[b]
+        for u in whole:
+            groups[u] = whole
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.rules_frame(spark)).collect()
+    assert len(found) == len(rows)
+    by_alias = 0
+    for r in found:
+        url = rows[r["page_id"]][1]
+        rule, verdict = rule_of(url)
+        blocked = any(rule_of(u)[1] == "block" for u in groups.get(url, ()))
+        assert (r["rule"], r["verdict"]) == (rule, verdict or ("block" if blocked else "allow")), url
+        by_alias += verdict is None and blocked
+    assert by_alias > 10
