@@ -36,3 +36,7 @@ def missing_key_property(name: str) -> SearchError:
 
 def invalid_weight(key: str) -> SearchError:
     return SearchError(f"Property 'weight' in key '{key}' must be a positive integer")
+
+
+def missing_getter(key: str) -> SearchError:
+    return SearchError(f"Key '{key}' was computed when its index was made; give its column or function again to add rows")

@@ -47,6 +47,25 @@ class Fuzzy:
             starts.append(len(p) - WIDTH)
         return [(p[s : s + WIDTH], s) for s in starts]
 
+    def most_errors(self, length: int) -> int:
+        """How many errors a part of this length may have at its expected place."""
+        errors = [e for e in range(length) if e / length <= self.threshold]
+        return errors[-1] if errors else -1
+
+    def pieces(self) -> list[str] | None:
+        """Strings of which every folded text that matches has one; None if that can't be said.
+
+        With k errors one of k + 1 pieces of a pattern is in the text as it is.
+        """
+        out: list[str] = []
+        for part, _ in self.chunks:
+            k = self.most_errors(len(part))
+            if k + 1 > max(1, len(part) // 2) or any("\ud800" <= c <= "\udfff" for c in part):
+                return None
+            cuts = [len(part) * i // (k + 1) for i in range(k + 2)] if k >= 0 else []
+            out += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return list(dict.fromkeys([*out, self.pattern]))
+
     def reach(self) -> int | None:
         """How many units of a text can matter; None if all can."""
         if self.ignore_location or self.include_matches or self.find_all_matches or self.min_match_char_length > 1 or self.distance <= 0:
@@ -252,6 +271,10 @@ def match_folded(texts: list[str], spec: Fuzzy) -> tuple[np.ndarray, np.ndarray,
     chunks = spec.chunks
     if not len(rest) or not chunks:
         return matched, scores, ranges
+    if (pieces := spec.pieces()) is not None:
+        rest = rest[np.fromiter((any(p in texts[i] for p in pieces) for i in rest), bool, len(rest))]
+        if not len(rest):
+            return matched, scores, ranges
     others = [texts[i] for i in rest]
     plain = spec.ignore_location and not spec.include_matches and spec.min_match_char_length <= 1
     total, hit = np.zeros(len(rest)), np.zeros(len(rest), bool)

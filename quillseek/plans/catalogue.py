@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillseek.plans import oracle as sql
-from quillseek.plans.search import Collection, fuzzy_match
+from quillseek.plans.search import Collection, fuzzy_match, parse_query
 from quillseek.sources.index import ORDINAL, Index, with_ordinals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +71,19 @@ def _fuzzy() -> None:
     # With threshold 0 a text matches only where the pattern stands at the location.
     at = "(CASE WHEN f = 'bolt' THEN 0.0::DOUBLE WHEN substr(f, 5, 4) = 'bolt' THEN 0.001::DOUBLE END)"
     search("fuzzy_location_zero_threshold", "part", [NAME], "bolt", _one_key("part", NAME, at), location=4, threshold=0.0)
-    search("fuzzy_default", "part", [NAME], "smal rng", None)
-    search("fuzzy_location", "part", [NAME], "widget", None, location=4, distance=20, threshold=0.4)
-    search("fuzzy_find_all", "part", [NAME], "gizmo", None, find_all_matches=True)
-    search("fuzzy_min_match_length", "part", [NAME], "old anvil", None, min_match_char_length=3, ignore_location=True)
+
+    def placed(name: str, pattern: str, **options) -> None:
+        known = {k: v for k, v in options.items() if k in ("threshold", "location", "distance")}
+        source = f"(SELECT *, {sql.located(pattern, 'lower(p_name)', find_all='find_all_matches' in options, **known)} AS raw FROM part)"
+        search(name, "part", [NAME], pattern, _one_key("part", NAME, "raw", source=source), **options)
+
+    placed("fuzzy_default", "smal rng")
+    placed("fuzzy_default_short", "rig")
+    placed("fuzzy_location", "widget", location=4, distance=20, threshold=0.4)
+    placed("fuzzy_location_inside", "ing", location=5, distance=10, threshold=0.7)
+    placed("fuzzy_find_all", "gizmo", find_all_matches=True)
+    longest = f"(SELECT *, {sql.marked('old anvil', 'lower(p_name)', 3)} AS raw FROM part)"
+    search("fuzzy_min_match_length", "part", [NAME], "old anvil", _one_key("part", NAME, "raw", source=longest), min_match_char_length=3, ignore_location=True)
     # Long patterns: with threshold 0 each part of 32 units is there or not; the score is the mean of 0.001 and 1.
     long = "eaea ndorea as erthndly edst threeain for heed"
     parts = [long[:32], long[-32:]]
@@ -83,7 +93,8 @@ def _fuzzy() -> None:
     accents = "(SELECT *, replace(strip_accents(lower(text)), 'ß', 'ss') AS f FROM documents)"
     found = sql.records(accents, "doc_id", {"x": sql.key_factor(sql.holds("contains(f, 'reoi')"), "text")})
     search("fuzzy_diacritics", "documents", ["text"], "'réoi", found, use_extended_search=True, ignore_diacritics=True)
-    search("fuzzy_whole_documents", "documents", ["text"], "therin blees", None, ignore_location=True, threshold=0.3)
+    whole = f"(SELECT *, {sql.whole_text('therin blees', 'lower(text)', 0.3)} AS raw FROM documents)"
+    search("fuzzy_whole_documents", "documents", ["text"], "therin blees", _one_key("documents", "text", "raw", source=whole), ignore_location=True, threshold=0.3)
 
 
 def _keys() -> None:
@@ -319,5 +330,233 @@ def _index() -> None:
     add("column_match", one_off, f"SELECT p_partkey, round({raw}, 6) AS score FROM part WHERE {raw} IS NOT NULL")
 
 
-for _group in (_fuzzy, _keys, _extended, _objects, _logical, _tokens, _order, _index):
+def _collections() -> None:
+    def nations(spark: SparkSession, sf_dir: str, **options) -> Collection:
+        return Collection.of(docs(spark, sf_dir, "nation"), keys=["n_name"], **options)
+
+    def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/region.parquet")
+        return rows.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey"), F.col("r_regionkey").cast("long").alias(ORDINAL))
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.select(ORDINAL, "item.n_name")
+
+    def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return named(nations(spark, sf_dir, use_extended_search=True).set_collection(regions(spark, sf_dir)).matches("'a"))
+
+    add("set_collection", replaced, "SELECT r_regionkey::BIGINT AS ref_index, r_name AS n_name FROM region WHERE contains(lower(r_name), 'a')")
+
+    def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = nations(spark, sf_dir).get_index()
+        (text,) = index.value_at(3, "n_name")
+        return spark.createDataFrame([(index.size(), index.keys[0].id, text["v"], text["n"], index.value_at(3, "x") is None)], "size long, key string, v string, n double, unknown boolean")
+
+    add("index_accessors", accessors, f"SELECT (SELECT count(*) FROM nation) AS size, 'n_name' AS key, n_name AS v, {sql.norm('n_name')} AS n, true AS unknown FROM nation WHERE n_nationkey = 3")
+
+    def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillseek.plans.sharded import ShardedCollection
+
+        shards = ShardedCollection(docs(spark, sf_dir, "nation"), keys=["n_name"], num_workers=3, use_extended_search=True)
+        shards.add(regions(spark, sf_dir))
+        return named(shards.search("'a"))
+
+    add("sharded_add", dealt, ORACLE["add_docs"])
+
+    def by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kept, _ = nations(spark, sf_dir).remove(lambda item, place: item["n_name"].endswith("1") or place == 2)
+        return named(kept.search(""))
+
+    add("remove_function", by_function, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ref_index, n_name FROM nation WHERE NOT ends_with(n_name, '1') AND n_nationkey <> 2")
+
+    def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = Index.create([NAME], docs(spark, sf_dir, "part"))
+        left = index.remove_all(range(0, 1000, 3))
+        return left.frame.select(ORDINAL, F.col("item.p_name").alias("p_name"))
+
+    add("remove_many", many, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ref_index, p_name FROM part WHERE p_partkey % 3 <> 0 OR p_partkey >= 1000")
+
+    def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = nations(spark, sf_dir, use_extended_search=True).search_sorted("'a", lambda a, b: (a["item"]["n_name"] < b["item"]["n_name"]) - (a["item"]["n_name"] > b["item"]["n_name"]), 6)
+        return spark.createDataFrame([(i, r["item"]["n_name"]) for i, r in enumerate(found)], "place long, n_name string")
+
+    add("sort_function", compared, "SELECT row_number() OVER (ORDER BY n_name DESC) - 1 AS place, n_name FROM nation WHERE contains(lower(n_name), 'a') ORDER BY n_name DESC LIMIT 6")
+
+    def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = Collection.of(docs(spark, sf_dir, "part"), keys=[NAME], ignore_location=True).search_all(["smal rng", " ", "hot rod", "larg gear"], 20)
+        return found.select("query", F.col("item.p_partkey").cast("long").alias("p_partkey"), F.round(F.log("score"), 6).alias("score"))
+
+    ranked = [f"(SELECT {n} AS query, * FROM ({_one_key('part', NAME, sql.fuzzy(q, 'f'))}) ORDER BY score, p_partkey LIMIT 20)" for n, q in ((0, "smal rng"), (2, "hot rod"), (3, "larg gear"))]
+    add("query_set", query_set, " UNION ALL ".join(f"SELECT * FROM {r}" for r in ranked))
+
+    def operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+        hit = rows.select("p_partkey", fuzzy_match(F.col(NAME), "^hot !rod | wdget", ignore_location=True, use_extended_search=True).alias("hit"))
+        return hit.where("hit.m").select("p_partkey", F.round("hit.s", 6).alias("score"))
+
+    first, second = "starts_with(lower(p_name), 'hot') AND NOT contains(lower(p_name), 'rod')", sql.fuzzy("wdget", "lower(p_name)")
+    add("column_match_operators", operators, f"SELECT p_partkey, CASE WHEN {first} THEN 0.0::DOUBLE ELSE round({second}, 6) END AS score FROM part WHERE ({first}) OR {second} IS NOT NULL")
+
+
+def _getters() -> None:
+    labelled = sql.records("(SELECT *, lower('x ' || p_name) AS f, 'x ' || p_name AS t FROM part)", "p_partkey", {"x": sql.key_factor(sql.holds("starts_with(f, 'x hot')"), "t")})
+
+    def column_of(df: DataFrame, parts: list[str]) -> Column:
+        return F.concat(F.lit("x "), F.col(parts[0]))
+
+    search("global_getter", "part", [NAME], '^"x hot"', labelled, use_extended_search=True, get=column_of)
+    search("row_getter", "part", lambda: [{"name": "any", "expr": lambda row: "x " + row[NAME]}], '^"x hot"', labelled, use_extended_search=True)
+
+    def added_after_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillseek.sources.index import scratch_path
+
+        path, rows = scratch_path(spark), docs(spark, sf_dir, "nation")
+        key = {"name": "label", "expr": F.concat(F.lit("a "), "n_name")}
+        Index.create([key], rows.where("n_nationkey < 20")).save(path)
+        loaded = Collection.of(None, index=Index.load(spark, path, keys=[key]), keys=[key], use_extended_search=True)
+        return loaded.add(rows.where("n_nationkey >= 20").withColumn(ORDINAL, F.col(ORDINAL) - 20)).matches("'a !^\"a i\"").select(ORDINAL, "item.n_name")
+
+    add("loaded_getter", added_after_loading, "SELECT n_nationkey::BIGINT AS ref_index, n_name FROM nation WHERE NOT starts_with(lower('a ' || n_name), 'a i')")
+
+    def reweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = Index.create([NAME, TYPE], docs(spark, sf_dir, "part"))
+        return flat(Collection.of(None, index=index, keys=[{"name": NAME, "weight": 4}, {"name": TYPE, "weight": 1}], ignore_location=True).matches("small"), "part")
+
+    factors = {f"x{i}": sql.key_factor(sql.fuzzy("small", f"lower({k})"), k, w) for i, (k, w) in enumerate(((NAME, 0.8), (TYPE, 0.2)))}
+    add("reweighted_index", reweighted, sql.records("part", "p_partkey", factors))
+
+    def plugged(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillseek.plans import matching
+
+        class Pattern(matching.Searcher):
+            def __init__(self, pattern: str):
+                self.pattern, self.fuzzy = pattern.removeprefix("re:"), []
+
+            def verdict(self, folded, hits):
+                return matching.Verdict(folded.rlike(self.pattern), F.lit(0.5))
+
+        mine = (lambda pattern, _: pattern.startswith("re:"), lambda pattern, _: Pattern(pattern))
+        matching.use(*mine)
+        try:
+            return flat(Collection.of(docs(spark, sf_dir, "part"), keys=[NAME]).matches("re:^(hot|cold) r"), "part")
+        finally:
+            matching._plugins.remove(mine)
+
+    half = "(CASE WHEN regexp_matches(f, '^(hot|cold) r') THEN 0.5::DOUBLE END)"
+    add("plugin_searcher", plugged, _one_key("part", NAME, half))
+
+
+def _words() -> None:
+    def shrunk(spark: SparkSession, sf_dir: str) -> Collection:
+        rows = docs(spark, sf_dir, "part")
+        collection = Collection.of(rows.where("p_partkey % 2 = 0"), keys=[NAME], use_token_search=True).with_statistics()
+        grown = collection.add(rows.where("p_partkey % 2 = 1").withColumn(ORDINAL, F.col("p_partkey").cast("long")))
+        return grown.remove(F.col("item.p_size") > 30)[0]
+
+    def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shrunk(spark, sf_dir).get_index().words.where("term IS NOT NULL")
+
+    words = "SELECT unnest(list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{M}\\p{N}_]+'))) AS term FROM part WHERE p_size <= 30"
+    add("token_df_decrement", frequencies, f"SELECT term, count(*) AS df FROM ({words}) GROUP BY term")
+
+    def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(shrunk(spark, sf_dir).matches("smal gizmo"), "part")
+
+    raws = [sql.fuzzy(w, "lower(p_name)") for w in ("smal", "gizmo")]
+    kept = "(SELECT * FROM part WHERE p_size <= 30)"
+    inner = f"(SELECT *, {raws[0]} AS r0, {raws[1]} AS r1 FROM {kept}, {sql.token_statistics(kept, ['lower(p_name)'], ['smal', 'gizmo'])})"
+    add("token_stored_statistics", searched, sql.records(inner, "p_partkey", {"x": sql.key_factor(sql.token_raw(["r0", "r1"]), NAME)}))
+
+
+def _streams() -> None:
+    def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillseek.sources.index import scratch_path
+        from quillseek.streaming.standing import standing_search
+
+        path, rows = scratch_path(spark, "stream"), spark.read.parquet(f"{sf_dir}/part.parquet")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/part.parquet*")
+        found = standing_search(stream, "smal rng", keys=[NAME], include_score=True, ignore_location=True)
+        writer = found.select("item", "score").writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return flat(spark.read.parquet(f"{path}/rows"), "part")
+
+    add("standing_search", standing, ORACLE["fuzzy_ignore_location"])
+
+    def growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillseek.sources.index import scratch_path
+        from quillseek.streaming.standing import growing_index
+
+        path, rows = scratch_path(spark, "growing"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+        first = Index.create(["n_name"], rows.limit(0).withColumn(ORDINAL, F.lit(0).cast("long")))
+        stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/nation.parquet*")
+        growing_index(stream, path, first).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+        return Collection.of(None, index=Index.load(spark, path), keys=["n_name"], use_extended_search=True).matches("'n_1").select(ORDINAL, "item.n_name")
+
+    add("growing_index", growing, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ref_index, n_name FROM nation QUALIFY contains(lower(n_name), 'n_1')")
+
+
+def _errors() -> None:
+    def table(cases: Callable[[SparkSession, str], list[tuple[str, Callable]]]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = []
+            for case, call in cases(spark, sf_dir):
+                try:
+                    call()
+                    rows.append((case, "nothing"))
+                except (ValueError, TypeError) as e:
+                    rows.append((case, f"{type(e).__name__}: {e}"))
+            return spark.createDataFrame(rows, "case string, message string")
+
+        return run
+
+    def cases(spark: SparkSession, sf_dir: str) -> list[tuple[str, Callable]]:
+        rows = docs(spark, sf_dir, "nation")
+        one = Collection.of(rows, keys=["n_name"])
+        words = Collection.of(rows, keys=["n_name"], use_token_search=True)
+        return [
+            ("index of another kind", lambda: Collection.of(rows, index={"keys": []})),
+            ("negative ordinal", lambda: one.remove_at(-1)),
+            ("ordinal beyond the last", lambda: one.remove_at(10**9)),
+            ("number as a leaf", lambda: one.matches({"n_name": 5})),
+            ("unknown operator", lambda: one.matches({"n_name": {"$like": "x"}})),
+            ("empty operand", lambda: one.matches({"n_name": {"$eq": ""}})),
+            ("nested negation", lambda: one.matches({"n_name": {"$not": {"$not": {"$eq": "x"}}}})),
+            ("key without a name", lambda: Collection.of(rows, keys=[{"weight": 1}])),
+            ("weight of nought", lambda: Collection.of(rows, keys=[{"name": "n_name", "weight": 0}])),
+            ("one match by words", lambda: fuzzy_match(F.col("n_name"), "x", use_token_search=True)),
+            ("words in a logical query", lambda: words.matches({"$and": ["x"]})),
+            ("tokens that aren't a list", lambda: words.statistics([]) and Collection.of(rows, keys=["n_name"], use_token_search=True, tokenize=lambda t: t).matches("x")),
+        ]
+
+    message = {
+        "index of another kind": "SearchError: Incorrect ''index'' type",
+        "negative ordinal": "SearchError: Invalid doc index: must be a non-negative integer within the bounds of the docs array",
+        "ordinal beyond the last": "SearchError: Invalid doc index: must be a non-negative integer within the bounds of the docs array",
+        "number as a leaf": "SearchError: Invalid value for key n_name",
+        "unknown operator": "SearchError: Unknown query operator ''$like''",
+        "empty operand": "SearchError: Empty value for operator ''$eq'' on key ''n_name''",
+        "nested negation": "SearchError: Invalid field query for key ''n_name'': $not cannot be nested",
+        "key without a name": "SearchError: Missing name property in key",
+        "weight of nought": "SearchError: Property ''weight'' in key ''n_name'' must be a positive integer",
+        "one match by words": "SearchError: match() does not support token search: it needs statistics of a whole collection",
+        "words in a logical query": "SearchError: text leaves of a logical query can''t use token search: it needs statistics of a whole collection",
+        "tokens that aren't a list": "TypeError: a tokenize function must return a list of strings",
+    }
+    values = ", ".join(f"({sql.quoted(case)}, '{text}')" for case, text in message.items())
+    add("errors", table(cases), f'SELECT * FROM (VALUES {values}) AS t("case", message)')
+
+    def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parsed = parse_query({"n_name": "x", "$or": [{"n_name": "!y"}, {"$path": ["a", "b"], "$val": "^z"}]})
+        return spark.createDataFrame([(json.dumps(parsed, sort_keys=True),)], "tree string")
+
+    inner = '{"children": [{"keyId": "n_name", "pattern": "!y"}, {"keyId": "a.b", "pattern": "^z"}], "operator": "$or"}'
+    add("parse_query", tree, f"""SELECT '{{"children": [{{"keyId": "n_name", "pattern": "x"}}, {inner}], "operator": "$and"}}' AS tree""")
+
+    def nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = docs(spark, sf_dir, "nation").select(ORDINAL, "n_name")
+        return Collection.of(rows).matches({"$or": ["a"]}).select(ORDINAL)
+
+    add("logical_strings", nothing, "SELECT n_nationkey::BIGINT AS ref_index FROM nation WHERE false")
+
+
+for _group in (_fuzzy, _keys, _extended, _objects, _logical, _tokens, _order, _index, _collections, _getters, _words, _streams, _errors):
     _group()

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,17 @@ class Searcher:
         return None
 
 
+def has_piece(spec: Fuzzy, folded: Column) -> Column | None:
+    """Whether a folded text has a piece of the pattern, as every text that matches has; None if that can't be said."""
+    pieces = spec.pieces()
+    if pieces is None:
+        return None
+    some = F.lit(False)
+    for p in pieces:
+        some = some | F.contains(folded, F.lit(p))
+    return some
+
+
 class FuzzySearcher(Searcher):
     def __init__(self, pattern: str, options: Options):
         self.options = options
@@ -61,6 +73,9 @@ class FuzzySearcher(Searcher):
         (hit,) = hits
         return Verdict(hit["m"], hit["s"], ranges=hit["r"])
 
+    def holds(self, folded: Column) -> Column | None:
+        return has_piece(self.fuzzy[0], folded)
+
 
 class GridSearcher(Searcher):
     """Groups of terms: the first group of which all hold decides."""
@@ -96,12 +111,13 @@ class GridSearcher(Searcher):
     def holds(self, folded: Column) -> Column | None:
         some = None
         for group in self.groups:
-            native = [t.holds(folded) for t in group if t.native]
-            if not native:
+            each = [t.holds(folded) if t.native else has_piece(t.fuzzy(self.options), folded) for t in group]
+            known = [c for c in each if c is not None]
+            if not known:
                 return None
-            whole = native[0]
-            for n in native[1:]:
-                whole = whole & n
+            whole = known[0]
+            for c in known[1:]:
+                whole = whole & c
             some = whole if some is None else some | whole
         return F.lit(False) if some is None else some
 
@@ -130,6 +146,15 @@ class TokenSearcher(Searcher):
         ranges = merged(F.concat(*[F.when(hit["m"], hit["r"]).otherwise(F.expr(f"cast(array() AS {RANGES})")) for hit in hits])) if self.options.include_matches else None
         return Verdict(matched, score, None, terms, ranges)
 
+    def holds(self, folded: Column) -> Column | None:
+        each = [has_piece(spec, folded) for spec in self.fuzzy]
+        if any(c is None for c in each):
+            return None
+        some = F.lit(False)
+        for c in each:
+            some = some | c
+        return some
+
 
 _plugins: list[tuple[Callable[[str, Options], bool], Callable[[str, Options], Searcher]]] = []
 
@@ -197,7 +222,19 @@ def kernel(specs: Sequence[Sequence[Fuzzy]]) -> Callable[..., Column]:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _strip_all(texts: pa.Array) -> pa.Array:
-    return pa.array([None if row is None else [None if t is None else tx.strip_diacritics(t) for t in row] for row in texts.to_pylist()], pa.list_(pa.string()))
+    """Distinct texts are stripped once, and only if they aren't ASCII."""
+    encoded = texts.flatten().dictionary_encode()
+    words = encoded.dictionary
+    odd = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return texts
+    plain = words.to_pylist()
+    for i in odd:
+        plain[i] = tx.strip_diacritics(plain[i])
+    lengths = texts.value_lengths()
+    offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))])
+    missing = None if not texts.null_count else pa.array(texts.is_null().to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(plain, pa.string()).take(encoded.indices), mask=missing)
 
 
 def folded_texts(texts: Column, options: Options) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cmp_to_key, reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillseek import errors
 from quillseek.functions import text as tx
@@ -30,7 +30,7 @@ from quillseek.plans.matching import (
     reach_of,
     searcher_for,
 )
-from quillseek.sources.index import ORDINAL, Index
+from quillseek.sources.index import ORDINAL, Index, scratch_path
 from quillseek.sources.keys import Key, normalised, parse_keys
 
 #: The base of an exact match's score where a key has a weight.
@@ -76,19 +76,45 @@ class Collection:
         return Collection.of(docs, self.options, index)
 
     def add(self, docs: DataFrame | None) -> Collection:
-        return self if docs is None else replace(self, index=self.index.add(docs))
+        if docs is None:
+            return self
+        more = self.index.added(docs)
+        return self._counted(self.index.with_all(more), more.frame, 1)
 
-    def remove(self, predicate: Column | None = None) -> tuple[Collection, DataFrame]:
-        """The collection without the records for which predicate, on `item` and `ref_index`, holds; and those records."""
+    def remove(self, predicate: Column | Callable[[dict, int], bool] | None = None) -> tuple[Collection, DataFrame]:
+        """The collection without the records for which predicate holds, and those records.
+
+        predicate: a column on `item` and `ref_index`, or a function of a record, as a dict, and its ordinal.
+        """
         if predicate is None:
             return self, self.index.frame.limit(0).select("item.*")
         kept, gone = self.index.remove_where(predicate)
-        return replace(self, index=kept), gone
+        return self._counted(kept, self.index.removed(predicate)[1], -1), gone
 
     def remove_at(self, ordinal: int) -> tuple[Collection, DataFrame]:
         self.index.check_ordinal(ordinal)
-        gone = self.index.frame.where(F.col(ORDINAL) == ordinal).select("item.*")
-        return replace(self, index=self.index.remove_at(ordinal)), gone
+        gone = self.index.frame.where(F.col(ORDINAL) == ordinal)
+        return self._counted(self.index.remove_at(ordinal), gone, -1), gone.select("item.*")
+
+    def with_statistics(self) -> Collection:
+        """The same with the frequencies of words stored in its index, so that token searches don't count them each time.
+
+        `add`, `remove` and `remove_at` then count only the records that come or go.
+        """
+        key = tokens.signature(self.options)
+        if key is None:
+            raise ValueError("frequencies can't be stored for a tokenize function")
+        words = _stored(tokens.word_table(self.folded_fields(), self.options), "words")
+        return replace(self, index=replace(self.index, words=words, words_of=key))
+
+    def _counted(self, index: Index, changed: DataFrame, sign: int) -> Collection:
+        """A collection with this index and, where frequencies are stored, those of the changed records added or taken away."""
+        known = self.index.words_of
+        if known is None or known != tokens.signature(self.options):
+            return replace(self, index=index)
+        part = tokens.word_table(replace(self, index=replace(index, frame=changed)).folded_fields(), self.options)
+        words = _stored(tokens.combined(self.index.words, part, sign), "words")
+        return replace(self, index=replace(index, words=words, words_of=known))
 
     # -- searching --------------------------------------------------------------------------------------------
 
@@ -111,6 +137,47 @@ class Collection:
             found = found.orderBy("score", ORDINAL)
         return (found.limit(limit) if limit > -1 else found).select(*columns)
 
+    def search_sorted(self, query: str | dict, compare: Callable[[Row, Row], float], limit: int = -1) -> list[Row]:
+        """The results in the order of a comparison of two of them, ties by ordinal.  All results come to the driver; where they can be
+        ordered by columns, `sort` keeps them where they are."""
+        both = self.options.with_(include_score=True, should_sort=False)
+        found = sorted(replace(self, options=both).search(query).collect(), key=cmp_to_key(lambda a, b: compare(a, b) or 0))
+        return found[:limit] if limit > -1 else found
+
+    def search_all(self, queries: Sequence[str], limit: int = -1) -> DataFrame:
+        """Several text queries in one pass over the records: query (its place), item, ref_index, score and, if wanted, matches; with a limit
+        the best so many of each query."""
+        asked = [(n, q) for n, q in enumerate(queries) if not tx.is_blank(q)]
+        searchers = [searcher_for(q, self.options, self.statistics) for _, q in asked]
+        parts, before = [], 0
+        for searcher in searchers:
+            parts.append(_Part(searcher, first_hit=before))
+            before += len(searcher.fuzzy)
+        if not parts:
+            raise ValueError("no query has a text to search for")
+
+        def can_match(scopes: dict[int, Column]) -> Column | None:
+            return _any_of([self._some_text(p.searcher, scopes[0]) for p in parts])
+
+        rows = self._with_hits(self.index, parts, can_match)
+        conditions = [self._conditions(s) for s in searchers]
+        # Each query's matches are filtered by its own conditions, in an array of one element.
+        each = [f"transform(filter(array(q{i}), f -> {' AND '.join(['size(f) > 0', *c])}), f -> struct({n} AS query, f AS found))" for i, ((n, _), c) in enumerate(zip(asked, conditions, strict=True))]
+        arrays = rows.select("item", ORDINAL, *[self._comparable(p).alias(f"q{i}") for i, p in enumerate(parts)])
+        found = arrays.select("item", ORDINAL, F.expr(f"explode(concat({', '.join(each)}))").alias("hit")).select("item", ORDINAL, "hit.query", "hit.found")
+        scored = self._with_scores(found, "query")
+        if limit > -1:
+            best = Window.partitionBy("query").orderBy("score", ORDINAL)
+            scored = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("place")
+        return scored
+
+    def _comparable(self, part: _Part) -> Column:
+        """What a searcher finds, with the same fields for all searchers."""
+        found = self._found(part)
+        if part.searcher.n_terms is not None:
+            return found
+        return F.transform(found, lambda x: x.withField("terms", F.expr("cast(array() AS array<int>)")))
+
     def matches(self, query: str | dict, statistics: Collection | None = None) -> DataFrame:
         """All records that match, in no order: item, ref_index, score and, if wanted, matches.
 
@@ -122,6 +189,8 @@ class Collection:
 
     def statistics(self, words: Sequence[str]) -> tuple[int, dict[str, int]]:
         """How many texts have tokens, and in how many each word is."""
+        if self.index.words_of is not None and self.index.words_of == tokens.signature(self.options):
+            return tokens.looked_up(self.index.words, list(words))
         return tokens.statistics(self.folded_fields(), list(words), self.options)
 
     def folded_fields(self) -> DataFrame:
@@ -147,7 +216,12 @@ class Collection:
         searcher = searcher_for(query, self.options, corpus.statistics)
         index = self._narrowed(lambda columns: _any_of([self._condition(searcher, c) for c in columns]))
         part = _Part(searcher)
-        rows = self._with_hits(index, [part]).select("item", ORDINAL, self._found(part).alias("found"))
+        rows = self._with_hits(index, [part], lambda scopes: self._some_text(searcher, scopes[0]))
+        rows = rows.select("item", ORDINAL, self._found(part).alias("found"))
+        return self._scored(rows, self._conditions(searcher))
+
+    def _conditions(self, searcher: Searcher) -> list[str]:
+        """What a record's matches (f) must satisfy beyond being there."""
         conditions = []
         if searcher.has_inverse and not self.index.strings:
             # An inverse term asks something of all keys; the first match of a key says whether it has one.
@@ -155,7 +229,7 @@ class Collection:
             conditions.append(f"(NOT {inverse} OR size(array_distinct(transform(f, x -> x.key))) = {len(self.index.keys)})")
         if searcher.n_terms is not None and self.options.token_match == "all":
             conditions.append(f"size(array_distinct(flatten(transform(f, x -> x.terms)))) = {searcher.n_terms}")
-        return self._scored(rows, conditions)
+        return conditions
 
     def _logical_query(self, query: dict) -> DataFrame:
         tree = logical.parse(query)
@@ -172,6 +246,15 @@ class Collection:
             scope = before[0].scope if before else len({p.scope for p in parts})
             parts.append(_Part(searcher, key, scope, sum(len(p.searcher.fuzzy) for p in before)))
 
+        parts_left = iter(parts)
+
+        def can_match(scopes: dict[int, Column]) -> Column | None:
+            def one(_: logical.Leaf) -> Column | None:
+                part = next(parts_left)
+                return self._some_text(part.searcher, scopes[part.scope])
+
+            return logical.fold_tree(tree, one, _all_of, _any_of)
+
         def narrow(plain: list[Column | None]) -> Column | None:
             def one(_: logical.Leaf) -> Column | None:
                 leaf, searcher = next(conditions)
@@ -181,7 +264,7 @@ class Collection:
 
             return logical.fold_tree(tree, one, _all_of, _any_of)
 
-        rows = self._with_hits(self._narrowed(narrow), parts)
+        rows = self._with_hits(self._narrowed(narrow), parts, can_match)
         rows = rows.select("item", ORDINAL, *[self._found(part).alias(f"l{n}") for n, part in enumerate(parts)])
         names = iter([f"l{n}" for n in range(len(leaves))])
         empty = "filter(l0, x -> false)"
@@ -212,8 +295,14 @@ class Collection:
         condition = condition_of(plain) if any(c is not None for c in plain) else None
         return self.index if condition is None else self.index.where(condition)
 
-    def _with_hits(self, index: Index, parts: Sequence[_Part]) -> DataFrame:
-        """The records with the texts of each scope (t0, t1, ...: v, i, n and the key's number), the same as they are compared (g0, ...)
+    def _some_text(self, searcher: Searcher, texts: Column) -> Column | None:
+        """Whether an array of folded texts has one that the searcher may match; None if that can't be said."""
+        if searcher.holds(F.lit("")) is None:
+            return None
+        return F.exists(texts, lambda x: F.coalesce(searcher.holds(x), F.lit(False)))
+
+    def _with_hits(self, index: Index, parts: Sequence[_Part], can_match: Callable[[dict[int, Column]], Column | None] | None = None) -> DataFrame:
+        """The records, of those of which `can_match` says so from the texts of each scope, with the texts of each scope (t0, t1, ...: v, i, n and the key's number), the same as they are compared (g0, ...)
         and the kernel's hits (h)."""
         scopes = {p.scope: p.key for p in parts}
         texts = []
@@ -227,6 +316,9 @@ class Collection:
         specs = {c: [spec for p in parts if p.scope == c for spec in p.searcher.fuzzy] for c in scopes}
         if not any(specs.values()):
             return rows
+        if can_match is not None and not self.options.ignore_diacritics:  # folding would run in Python twice
+            condition = can_match({c: F.col(f"g{c}") for c in scopes})
+            rows = rows if condition is None else rows.where(condition)
         reach = {c: reach_of(own) for c, own in specs.items()}
         shown = [F.col(f"g{c}") if r is None else F.expr(f"transform(g{c}, x -> substring(x, 1, {r}))") for c, r in reach.items()]
         return _spread(rows).withColumn("h", kernel(list(specs.values()))(*shown))
@@ -263,11 +355,21 @@ class Collection:
         """
         kept = " AND ".join(["size(f) > 0", *conditions])
         rows = rows.select("item", ORDINAL, F.expr(f"explode(filter(array(found), f -> {kept}))").alias("found"))
+        return self._with_scores(rows)
+
+    def _with_scores(self, rows: DataFrame, *more: str) -> DataFrame:
         score = F.expr("aggregate(found, 1D, (acc, x) -> acc * x.factor)").alias("score")
         if not self.options.include_matches:
-            return rows.select("item", ORDINAL, score)
+            return rows.select(*more, "item", ORDINAL, score)
         reports = F.expr("filter(transform(found, x -> x.report), r -> size(r.indices) > 0)")
-        return rows.select("item", ORDINAL, score, reports.alias("matches"))
+        return rows.select(*more, "item", ORDINAL, score, reports.alias("matches"))
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """df, written below the shared folder and read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _any_of(conditions: list[Column | None]) -> Column | None:
@@ -305,17 +407,18 @@ def fuzzy_match(column: Column, pattern: str, options: Options | None = None, **
     if chosen.use_token_search and not chosen.use_extended_search:
         raise errors.SearchError(errors.MATCH_TOKEN_SEARCH)
 
-    @F.arrow_udf(f"struct<m: boolean, s: double, r: {RANGES}>")
-    def run(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else match(pattern, t, chosen) for t in texts.to_pylist()]
-        out = [None if r is None else {"m": r["is_match"], "s": r["score"], "r": [{"start": a, "end": b} for a, b in r.get("indices", [])]} for r in rows]
-        return pa.array(out, pa.struct([("m", pa.bool_()), ("s", pa.float64()), ("r", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
-
-    if not chosen.use_extended_search:
-        searcher = FuzzySearcher(pattern, chosen)
-        texts = F.array(F.struct(column.alias("v")))
-        return F.get(kernel([searcher.fuzzy])(folded_texts(texts, chosen))["c0t0"], F.lit(0))
-    return run.asNondeterministic()(column)
+    searcher = GridSearcher(extended.parse(pattern, chosen), chosen) if chosen.use_extended_search else FuzzySearcher(pattern, chosen)
+    folded = folded_texts(F.array(F.struct(column.alias("v"))), chosen)
+    names = [f"c0t{t}" for t in range(len(searcher.fuzzy))]
+    hits = kernel([searcher.fuzzy])(folded) if names else F.lit(0)
+
+    def judged(known: Column) -> Column:
+        text = F.get(known["folded"], F.lit(0))
+        v = searcher.verdict(text, [F.get(known["hits"][n], F.lit(0)) for n in names])
+        return F.when(text.isNotNull(), F.struct(v.matched.alias("m"), v.score.cast("double").alias("s"), v.ranges.alias("r")))
+
+    # The kernel's result is an element that a function is applied to, so that it is computed once.
+    return F.get(F.transform(F.array(F.struct(folded.alias("folded"), hits.alias("hits"))), judged), F.lit(0))
 
 
 def match(pattern: str, text: str, options: Options | None = None, **changes) -> dict:

@@ -43,12 +43,18 @@ class ShardedCollection:
         return self._checked().search(query, limit)
 
     def add(self, docs: DataFrame) -> None:
-        self._collection = self._checked().add(docs)
+        """The shards with docs' rows, dealt out anew; the old ones are released."""
+        before = self._checked()
+        self._keep(self._dealt(before.add(docs)), before)
 
     def set_collection(self, docs: DataFrame) -> None:
-        collection = self._checked()
-        collection.index.frame.unpersist()
-        self._collection = self._dealt(collection.set_collection(docs))
+        before = self._checked()
+        self._keep(self._dealt(before.set_collection(docs)), before)
+
+    def _keep(self, collection: Collection, before: Collection) -> None:
+        collection.index.frame.count()  # reads the old shards, so they are released after it
+        before.index.frame.unpersist()
+        self._collection = collection
 
     def terminate(self) -> None:
         if self._open:

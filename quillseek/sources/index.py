@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from quillseek import errors
 from quillseek.sources.keys import Key, keys_to_json, parse_keys, plain_column, texts_of
 
 ORDINAL = "ref_index"
+#: Ordinals to remove that are compared with each record's; more of them are joined.
+FEW = 100
 
 
 def with_ordinals(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
@@ -42,16 +45,41 @@ def numbered_in_place(df: DataFrame) -> DataFrame:
     differently; the partitions' sizes, one number each, are then summed up.  No row goes to a single task.
     """
     spark = df.sparkSession
-    part = F.spark_partition_id()
+    part, place, count, start = _fresh(df, "part", "at", "n", "start")
     path = scratch_path(spark, "rows")
-    at = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
-    df.withColumn("__part", part).withColumn("__at", at).write.parquet(path)
+    here = F.spark_partition_id()
+    df.withColumn(part, here).withColumn(place, F.monotonically_increasing_id() - F.shiftleft(here.cast("long"), 33)).write.parquet(path)
     stored = spark.read.parquet(path)
-    sizes = stored.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    joined = stored.join(F.broadcast(starts), "__part")
-    return joined.withColumn(ORDINAL, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    sizes = stored.groupBy(part).agg(F.count("*").alias(count))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select(part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    joined = stored.join(F.broadcast(starts), part)
+    return joined.withColumn(ORDINAL, F.col(start) + F.col(place)).drop(part, place, start)
+
+
+def renumbered(frame: DataFrame) -> DataFrame:
+    """frame with its ordinals made contiguous again, in their order."""
+    (old,) = _fresh(frame, "old")
+    return with_ordinals(frame.withColumnRenamed(ORDINAL, old), [old]).drop(old)
+
+
+def _fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for label in labels:
+        while (label := "_" + label).lower() in taken:
+            pass
+        out.append(label)
+    return out
+
+
+def _row_predicate(function: Callable[[dict, int], bool]):
+    @F.arrow_udf("boolean")
+    def run(items: pa.Array, ordinals: pa.Array) -> pa.Array:
+        return pa.array([bool(function(i, o)) for i, o in zip(items.to_pylist(), ordinals.to_pylist(), strict=True)], pa.bool_())
+
+    return run
 
 
 def scratch_path(spark: SparkSession, label: str = "index") -> str:
@@ -72,7 +100,9 @@ def is_string_list(df: DataFrame, keys: Sequence) -> bool:
 
 @dataclass(frozen=True)
 class Index:
-    """frame: ref_index, item, k0, k1, ...  source: the rows it was made from, if it hasn't been stored."""
+    """frame: ref_index, item, k0, k1, ...  source: the rows it was made from, if it hasn't been stored.  words: term, df, how many
+    texts have each word, with the number of texts that have any under the term null; None if they aren't stored.  words_of: the
+    options that words were split by."""
 
     frame: DataFrame
     keys: list[Key]
@@ -80,6 +110,8 @@ class Index:
     field_norm_weight: float = 1.0
     source: DataFrame | None = None
     get: Callable | None = None
+    words: DataFrame | None = None
+    words_of: tuple | None = None
 
     @classmethod
     def create(cls, keys: Sequence, docs: DataFrame, get=None, field_norm_weight: float = 1.0) -> Index:
@@ -135,11 +167,13 @@ class Index:
 
     def to_json(self) -> str:
         """The keys and the schema of the records."""
-        return json.dumps({"keys": json.loads(keys_to_json(self.keys)), "strings": self.strings, "field_norm_weight": self.field_norm_weight})
+        return json.dumps({"keys": json.loads(keys_to_json(self.keys)), "strings": self.strings, "field_norm_weight": self.field_norm_weight, "words_of": self.words_of})
 
     def save(self, path: str) -> None:
-        """Write the records as Parquet and the keys beside them."""
+        """Write the records as Parquet and the keys, and the frequencies of words if it has them, beside them."""
         self.frame.write.mode("overwrite").parquet(f"{path}/records")
+        if self.words is not None:
+            self.words.write.mode("overwrite").parquet(f"{path}/words")
         self.save_keys(path)
 
     def save_keys(self, path: str) -> None:
@@ -147,39 +181,54 @@ class Index:
         spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/keys")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        """An index as it was saved; norms are taken as stored."""
+    def load(cls, spark: SparkSession, path: str, get: Callable | None = None, keys: Sequence = ()) -> Index:
+        """An index as it was saved; norms are taken as stored.  get, keys: see `parse`."""
         meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/keys").collect()))
-        return cls.parse(spark.read.parquet(f"{path}/records").drop("batch"), meta)
+        index = cls.parse(spark.read.parquet(f"{path}/records").drop("batch"), meta, get, keys)
+        known = meta.get("words_of")
+        return replace(index, words=spark.read.parquet(f"{path}/words"), words_of=tuple(known)) if known else index
 
     @classmethod
-    def parse(cls, frame: DataFrame, meta: dict) -> Index:
-        keys = [Key(k["src"] if isinstance(k["src"], str) else tuple(k["src"]), k["weight"]) for k in meta["keys"]]
-        return cls(frame, keys, meta["strings"], meta["field_norm_weight"])
+    def parse(cls, frame: DataFrame, meta: dict, get: Callable | None = None, keys: Sequence = ()) -> Index:
+        """An index from its records and what `to_json` said.  Functions aren't stored: `get` is the global getter for rows that are
+        added, and `keys` has those keys again that were computed; without it `add` raises an error for them."""
+        given = {k.id: k.expr for k in parse_keys(keys)}
+        own = [Key(k["src"] if isinstance(k["src"], str) else tuple(k["src"]), k["weight"], computed=k.get("computed", False)) for k in meta["keys"]]
+        return cls(frame, [replace(k, expr=given.get(k.id)) for k in own], meta["strings"], meta["field_norm_weight"], get=get)
 
     def persist(self) -> Index:
         return replace(self, frame=self.frame.persist(), source=None)
 
-    def add(self, docs: DataFrame) -> Index:
-        """The index with docs' rows after the present ones, in the order of their `ref_index` or else as they are read; docs has the records' columns."""
+    def added(self, docs: DataFrame) -> Index:
+        """docs' rows as they would be added: after the present ones, in the order of their `ref_index` or else as they are read; docs has
+        the records' columns."""
         last = self.frame.agg(F.max(ORDINAL)).first()[0]
         start = -1 if last is None else last
         names = [f.name for f in self.frame.schema["item"].dataType.fields]
         if ORDINAL not in docs.columns:
             docs = numbered_in_place(docs)
         new = docs.select(*[F.col(f"`{c}`") for c in names], (F.col(ORDINAL) + F.lit(start + 1)).alias(ORDINAL))
-        frame = self._frame_of(new, self.keys, self.strings, self.field_norm_weight, self.get)
-        return replace(self, frame=self.frame.unionByName(frame), source=None)
+        return replace(self, frame=self._frame_of(new, self.keys, self.strings, self.field_norm_weight, self.get), source=None, words=None, words_of=None)
+
+    def with_all(self, more: Index) -> Index:
+        return replace(self, frame=self.frame.unionByName(more.frame), source=None, words=None, words_of=None)
+
+    def add(self, docs: DataFrame) -> Index:
+        return self.with_all(self.added(docs))
 
     def remove_all(self, ordinals: Sequence[int]) -> Index:
         """Without the records of these ordinals; the others move up.  Ordinals that aren't there are ignored."""
         gone = sorted({int(i) for i in ordinals})
         if not gone:
             return self
+        if len(gone) > FEW:
+            known = self.frame.sparkSession.createDataFrame([(i,) for i in gone], f"{ORDINAL} long")
+            kept = self.frame.join(known, ORDINAL, "left_anti")
+            return replace(self, frame=renumbered(kept).select(self.frame.columns), source=None, words=None, words_of=None)
         known = F.array(*[F.lit(i) for i in gone])
         kept = self.frame.where(~F.array_contains(known, F.col(ORDINAL)))
         moved = F.size(F.filter(known, lambda g: g < F.col(ORDINAL)))
-        return replace(self, frame=kept.withColumn(ORDINAL, F.col(ORDINAL) - moved), source=None)
+        return replace(self, frame=kept.withColumn(ORDINAL, F.col(ORDINAL) - moved), source=None, words=None, words_of=None)
 
     def remove_at(self, ordinal: int) -> Index:
         self.check_ordinal(ordinal)
@@ -190,12 +239,18 @@ class Index:
         if not whole or self.frame.where(F.col(ORDINAL) == F.lit(ordinal)).isEmpty():
             raise errors.SearchError(errors.INVALID_DOC_INDEX)
 
-    def remove_where(self, predicate: Column) -> tuple[Index, DataFrame]:
-        """Without the records for which predicate, on `item` and `ref_index`, holds; and those records' items in order."""
+    def removed(self, predicate: Column | Callable[[dict, int], bool]) -> tuple[DataFrame, DataFrame]:
+        """The records that stay and those for which predicate holds: a column on `item` and `ref_index`, or a function of a record, as a
+        dict, and its ordinal."""
+        if not isinstance(predicate, Column):
+            predicate = _row_predicate(predicate)(F.col("item"), F.col(ORDINAL))
         doomed = F.coalesce(predicate, F.lit(False))
-        kept, gone = self.frame.where(~doomed), self.frame.where(doomed)
-        numbered = with_ordinals(kept.withColumnRenamed(ORDINAL, "__old"), ["__old"]).drop("__old")
-        return replace(self, frame=numbered.select(self.frame.columns), source=None), gone.orderBy(ORDINAL).select("item.*")
+        return self.frame.where(~doomed), self.frame.where(doomed)
+
+    def remove_where(self, predicate: Column | Callable[[dict, int], bool]) -> tuple[Index, DataFrame]:
+        """Without the records for which predicate holds; and those records' items in order."""
+        kept, gone = self.removed(predicate)
+        return replace(self, frame=renumbered(kept).select(self.frame.columns), source=None, words=None, words_of=None), gone.orderBy(ORDINAL).select("item.*")
 
     def value_at(self, ref_index: int, key_id: str):
         """The texts of one record's key, as rows of v, i and n; None for an unknown key."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,12 +25,14 @@ class Key:
     """A column or path to search.
 
     path: 'a.b', or a list of names, which may contain dots.  weight: positive; the weights of a search are
-    normalised.  expr: a column of string or array<string> to search instead of the path.
+    normalised.  expr: a column of string or array<string> to search instead of the path, or a function from a row, as a dict, to
+    a string or a list of strings.  An index that was loaded knows that a key was computed, but not how.
     """
 
     path: str | Sequence[str]
     weight: float = 1.0
-    expr: Column | None = None
+    expr: Column | Callable[[dict], Any] | None = None
+    computed: bool = False
 
     @property
     def id(self) -> str:
@@ -68,7 +71,7 @@ def normalised(keys: Sequence[Key]) -> list[Key]:
 
 
 def keys_to_json(keys: Sequence[Key]) -> str:
-    return json.dumps([{"path": k.parts, "id": k.id, "weight": k.weight, "src": k.path if isinstance(k.path, str) else list(k.path)} for k in keys])
+    return json.dumps([{"path": k.parts, "id": k.id, "weight": k.weight, "src": k.path if isinstance(k.path, str) else list(k.path), "computed": k.computed or k.expr is not None} for k in keys])
 
 
 @F.arrow_udf(T.StringType())
@@ -128,6 +131,19 @@ def _walk(value: Column, kind: T.DataType, parts: list[str], place: Column | Non
     return F.coalesce(_walk(below, below_kind, rest, place, arrays), _empty())
 
 
+def row_function(function: Callable[[dict], Any]) -> Callable[[Column], Column]:
+    """A function of a row, as a dict, to a string, a list of strings or None, for a struct column; rows come in batches."""
+
+    def listed(value) -> list[str | None] | None:
+        return value if value is None or isinstance(value, list) else [value]
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else listed(function(r)) for r in rows.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
 def path_exists(schema: T.StructType, parts: list[str]) -> bool:
     kind: T.DataType = schema
     for name in parts:
@@ -152,8 +168,12 @@ def plain_column(df: DataFrame, key: Key) -> Column | None:
 def texts_of(df: DataFrame, key: Key, field_norm_weight: float = 1.0, get=None) -> Column:
     """The key's texts in each row of df, blank ones left out."""
     expr = key.expr
+    if expr is None and key.computed:
+        raise errors.missing_getter(key.id)
     if expr is None and get is not None:
         expr = get(df, key.parts)
+    if expr is not None and not isinstance(expr, Column):
+        expr = row_function(expr)(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     if expr is not None:
         kind = df.select(expr.alias("x")).schema["x"].dataType
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):

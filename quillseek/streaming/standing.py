@@ -6,6 +6,8 @@ the frequencies of words in a whole collection; they are taken from a stored one
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -38,7 +40,7 @@ def growing_index(stream: DataFrame, path: str, first: Index) -> DataStreamWrite
         spark = batch.sparkSession
         stored = spark.read.parquet(f"{path}/records").where(F.col("batch") < number).drop("batch")
         last = stored.agg(F.max(ORDINAL)).first()[0]
-        before = Index(stored.where(F.col(ORDINAL) == F.lit(last)), first.keys, first.strings, first.field_norm_weight)
+        before = replace(first, frame=stored.where(F.col(ORDINAL) == F.lit(last)), source=None, words=None)
         grown = before.add(batch.select(names)).frame.where(F.col(ORDINAL) > F.lit(-1 if last is None else last))
         grown.write.mode("overwrite").parquet(f"{path}/records/batch={number}")
 

@@ -281,3 +281,82 @@ def test_ranges_of_operators(strings):
     assert found == {0: [(3, 6)], 1: [(1, 2)]}
     suffix = {r["ref_index"]: [(x["start"], x["end"]) for x in r["matches"][0]["indices"]] for r in texts.search("ab$").collect()}
     assert suffix == {0: [(5, 6)]}
+
+
+def test_shards_release_what_they_replace(spark, books):
+    cached = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = cached()
+    shards = ShardedCollection(books, keys=["title"], num_workers=3, use_extended_search=True)
+    assert ids(shards.search("'dorset")) == [3, 4] and cached() == before + 1
+    shards.add(books.where("ref_index = 4"))
+    assert ids(shards.search("'dorset")) == [3, 4, 10] and cached() == before + 1
+    assert shards.index.frame.rdd.getNumPartitions() == 3
+    shards.set_collection(books.where("ref_index < 4"))
+    assert ids(shards.search("'dorset")) == [3] and cached() == before + 1
+    shards.terminate()
+    assert cached() == before
+    with pytest.raises(RuntimeError):
+        shards.search("x")
+
+
+def test_loaded_keys_that_were_computed(spark, books, tmp_path):
+    key = {"name": "label", "expr": F.concat(F.lit("my "), "title")}
+    Index.create([key], books).save(str(tmp_path / "i"))
+    more = books.where("ref_index = 0").withColumn("ref_index", F.lit(0).cast("long"))
+    with pytest.raises(SearchError, match="label"):
+        Index.load(spark, str(tmp_path / "i")).add(more)
+    index = Index.load(spark, str(tmp_path / "i"), keys=[key]).add(more)
+    assert [r["v"] for r in index.value_at(6, "label")] == ["my Old Mill's Tax"]
+    Index.create(["title"], books, get=lambda df, parts: F.upper(parts[0])).save(str(tmp_path / "g"))
+    index = Index.load(spark, str(tmp_path / "g"), get=lambda df, parts: F.upper(parts[0])).add(more)
+    assert [r["v"] for r in index.value_at(6, "title")] == ["OLD MILL'S TAX"]
+
+
+def test_functions_of_rows(books):
+    key = Key("names", expr=lambda row: [row["title"], row["author"]["lastName"]])
+    assert ids(Collection.of(books, keys=[key], use_extended_search=True).search("=olsen")) == [1]
+    kept, gone = Collection.of(books, keys=["title"]).remove(lambda item, place: item["year"] is None or place == 0)
+    assert [r["title"] for r in gone.collect()] == ["Old Mill's Tax", "Quite So Dorset"] and kept.index.size() == 4
+
+
+def test_stored_statistics_follow_changes(spark, books, tmp_path):
+    options = {"keys": ["title", "tags"], "use_token_search": True, "include_score": True}
+    plain, stored = Collection.of(books, **options), Collection.of(books, **options).with_statistics()
+    assert stored.statistics(["dorset", "tax", "x"]) == plain.statistics(["dorset", "tax", "x"])
+    assert stored.search("dorset tax").collect() == plain.search("dorset tax").collect()
+    for change in (lambda c: c.add(books.where("ref_index = 3")), lambda c: c.remove(F.col("item.year") == 1934)[0], lambda c: c.remove_at(0)[0]):
+        plain, stored = change(plain), change(stored)
+        assert stored.index.words is not None and stored.statistics(["dorset", "tax", "good"]) == plain.statistics(["dorset", "tax", "good"])
+        assert sorted(map(tuple, stored.index.words.where("term IS NOT NULL").collect())) == sorted(map(tuple, plain.document_frequency().collect()))
+    stored.index.save(str(tmp_path / "w"))
+    loaded = Collection.of(None, index=Index.load(spark, str(tmp_path / "w")), **options)
+    assert loaded.index.words is not None and loaded.statistics(["dorset"]) == plain.statistics(["dorset"])
+    other = Collection.of(None, index=loaded.index, is_case_sensitive=True, **options)
+    assert other.statistics(["dorset"])[1] == {"dorset": 0}
+
+
+def test_a_set_of_queries_in_one_pass(books):
+    queries = ["dorset", "  ", "tax", "mask pantr"]
+    for options in ({}, {"use_extended_search": True}, {"use_token_search": True, "token_match": "all"}, {"include_matches": True}):
+        collection = Collection.of(books, keys=["title", "tags"], include_score=True, **options)
+        found = collection.search_all(queries, 3)
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+        rows = found.collect()
+        for n, q in enumerate(queries):
+            own = sorted([r for r in rows if r["query"] == n], key=lambda r: (r["score"], r["ref_index"]))
+            expected = collection.search(q, 3).collect() if q.strip() else []
+            assert [(r["ref_index"], r["score"]) for r in own] == [(r["ref_index"], r["score"]) for r in expected]
+    with pytest.raises(ValueError):
+        collection.search_all([" "])
+
+
+def test_tokenizers_must_give_lists_of_strings(books):
+    wrong = Collection.of(books, keys=["title"], use_token_search=True, tokenize=lambda t: t.split() if t == "x" else (t,))
+    with pytest.raises(Exception, match="list of strings"):
+        wrong.search("x").collect()
+
+
+def test_columns_with_odd_names(spark):
+    rows = spark.createDataFrame([("b", 1, 2, 3), ("a", 4, 5, 6)], "v string, __part int, __start int, old int")
+    numbered = with_ordinals(rows, ["v"])
+    assert [tuple(r) for r in numbered.orderBy("ref_index").select("v", "__part", "__start", "old", "ref_index").collect()] == [("a", 4, 5, 6, 0), ("b", 1, 2, 3, 1)]
