@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillseek.llm._blocks import blocks_of, compare_groups, dealt, sized, spanning
 from quillseek.llm._graph import components, contract
 from quillseek.llm._shared import join_hot, materialise
 
@@ -105,23 +106,6 @@ def _cell_sizes(tables: range, bits: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, partitions: int) -> DataFrame:
-    """rows: key, nid, n, embedding, blocks.  Every two of a key's blocks, and each with itself, are a group.
-
-    part: 0 in groups of one block, else 1 or 2 for the block that a row is in.
-    """
-    own, other = F.pmod(F.xxhash64("nid", F.lit("block")), F.col("blocks")), F.col("other")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    group = F.concat_ws(":", key, F.least("own", other), F.greatest("own", other))
-    part = F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2)
-    rows = rows.select(group.alias("group"), part.alias("part"), "nid", "n", "embedding")
-    return rows.repartition(partitions, "group").sortWithinPartitions("group")
-
-
-def _blocks(size: Column) -> Column:
-    return F.ceil(size / F.lit(2 * BLOCK)).cast("long")
-
-
 Group = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -150,23 +134,6 @@ def _nearest(cos: np.ndarray, floor: float, most: int) -> tuple[np.ndarray, np.n
     return np.nonzero(cos >= floor)
 
 
-def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, breadth-first, of the graph with this symmetric matrix."""
-    left = near.any(axis=1)
-    parents, children = [], []
-    while left.any():
-        frontier = np.array([left.argmax()])
-        left[frontier] = False
-        while len(frontier):
-            rows = near[frontier] & left
-            found = np.flatnonzero(rows.any(axis=0))
-            parents.append(frontier[rows[:, found].argmax(axis=0)])
-            children.append(found)
-            left[found] = False
-            frontier = found
-    return np.concatenate(parents or [np.zeros(0, np.int64)]), np.concatenate(children or [np.zeros(0, np.int64)])
-
-
 LISTED = "a long, b long, cos double, link boolean"
 
 
@@ -190,7 +157,7 @@ def _lists(floor: float, threshold: float, most: int):
             linked = cos >= threshold
             near[i : i + cos.shape[0], j : j + cos.shape[1]] |= linked
             near[j : j + cos.shape[1], i : i + cos.shape[0]] |= linked.T
-        a, b = _spanning(near)
+        a, b = spanning(near)
         if len(a):
             yield pd.DataFrame({"a": ids[a], "b": ids[b], "cos": 1.0, "link": True})
 
@@ -205,9 +172,10 @@ def _degrees(threshold: float):
         sums = [np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)]
         for i, j, cos in _cosines(left, right):
             near = cos >= threshold
-            sums[0][i : i + BLOCK] += near @ right[1][j : j + BLOCK]
+            rows, columns = slice(i, i + near.shape[0]), slice(j, j + near.shape[1])
+            sums[0][rows] += near @ right[1][columns]
             if not same or i != j:
-                sums[1][j : j + BLOCK] += near.T @ left[1][i : i + BLOCK]
+                sums[1][columns] += near.T @ left[1][rows]
         total = [sums[0] + sums[1]] if same else sums
         for (ids, *_), links in zip((left, right), total, strict=False):
             yield pd.DataFrame({"nid": ids[links > 0], "links": links[links > 0]})
@@ -215,55 +183,26 @@ def _degrees(threshold: float):
     return run
 
 
-def _compare_groups(visit: Callable[[Group, Group], Iterator[pd.DataFrame]]):
-    """Rows come sorted by group; all rows of one group are visited."""
+def _dealt(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    return dealt(rows, key, ["n", "embedding"], partitions)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            if not len(frame):
-                continue
-            group = frame["group"].to_numpy()
-            if held and held[0]["group"].iat[0] != group[0]:
-                yield from compare(held)
-                held = []
-            at = 0
-            for cut in (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist():
-                yield from compare([*held, frame[at:cut]])
-                held, at = [], cut
-            held.append(frame[at:])
-        if held:
-            yield from compare(held)
-
-    def compare(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(held) if len(held) > 1 else held[0]
-        if len(rows) < 2:
-            return
-        if not rows["part"].iat[0]:
-            own = _group_of(rows)
-            yield from visit(own, own)
-        else:
-            left, right = rows[rows["part"] == 1], rows[rows["part"] == 2]
-            if len(left) and len(right):
-                yield from visit(_group_of(left), _group_of(right))
 
-    return run
+def _blocks(size: Column) -> Column:
+    return blocks_of(size, 2 * BLOCK)
+
+
+def _compare_groups(visit: Callable[[Group, Group], Iterator[pd.DataFrame]]):
+    return compare_groups(_group_of, visit)
 
 
 def _seed(nodes: DataFrame, tables: range, bits: int, partitions: int, threshold: float = THRESHOLD) -> DataFrame:
     cells = nodes.mapInPandas(_bucket_partition(tables, bits), f"cell string, nid long, n long, embedding {nodes.schema['embedding'].dataType.simpleString()}")
     sizes = nodes.mapInPandas(_cell_sizes(tables, bits), "cell string, size long").groupBy("cell").agg(F.sum("size").alias("size"))
     large = materialise(sizes.where(F.col("size") > 2 * BLOCK).select("cell", _blocks(F.col("size")).alias("blocks"), "size"), "large-cells")
-    cells = cells.withColumn("blocks", F.lit(1).cast("long")) if large.isEmpty() else _sized(cells, large, "cell")
+    cells = cells.withColumn("blocks", F.lit(1).cast("long")) if large.isEmpty() else sized(cells, large, "cell")
     return _dealt(cells, "cell", partitions).mapInPandas(_compare_groups(_lists(FLOOR, threshold, LIST)), LISTED)
 
 
-def _sized(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """rows with the number of blocks of their key, 1 where sizes doesn't have it."""
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    return join_hot(rows, sizes, [key], "size", total).fillna(1, ["blocks"]).drop("size")
-
-
 def _trimmed(entries: DataFrame, most: int) -> DataFrame:
     """The `most` nearest of each list."""
     distinct = entries.groupBy("a", "b").agg(F.max("cos").alias("cos"))
@@ -297,7 +236,7 @@ def _links_within(nodes: DataFrame, comp: DataFrame, partitions: int, threshold:
     members = comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "nid")
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", _blocks(F.col("size")))
     sizes = materialise(sizes, "component-sizes")
-    rows = _sized(nodes.join(members, "nid"), sizes, "component")
+    rows = sized(nodes.join(members, "nid"), sizes, "component")
     return _dealt(rows, "component", partitions).mapInPandas(_compare_groups(_degrees(threshold)), "nid long, links long").groupBy("nid").agg(F.sum("links").alias("links"))
 
 

@@ -11,6 +11,12 @@ output of a dense group is as long as the group.  Components of the forest are t
 
 Copies have one fingerprint and are one row from the start.
 
+Three bits of one fingerprint are too few for texts whose similarity is wanted, as the Jaccard coefficient of their
+shingles.  `similar` therefore gives each text TABLES fingerprints of its words, weighted by the square roots of their
+counts: texts that share most of their shingles share nearly all of their words.  Each table goes through the same grid; pairs
+that meet within 3 bits in any table, and differ in no more than MOST_APART of all bits, are candidates.  The candidates' components
+are then compared by their shingles, exactly and block by block; a task keeps a spanning forest of what is similar enough.
+
 Defined results: a text without words (null, empty) has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle has one shingle, all its words; ties and repeated rows are all returned, each with its
 component; the component's id is the smallest non-null id in it; `keep_one` keeps the row of that id and, of rows that
@@ -20,6 +26,7 @@ no more than BATCH_CHARS of other texts at once; an empty table gives an empty r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillseek.llm._blocks import blocks_of, compare_groups, dealt, sized, spanning
 from quillseek.llm._graph import _forest, components
 from quillseek.llm._shared import columns_of, fresh, join_hot, materialise, slices, small_batches, split, without
 
@@ -37,6 +45,15 @@ MAX_BITS = 3
 #: Rows of a cell that are compared all at once; larger cells are searched breadth-first.
 SMALL_CELL = 64
 BATCH_CHARS = 500_000
+#: Words of a shingle and similarity of `similar`, its fingerprints, and the largest share of their bits in which candidates differ.
+WIDTH = 5
+SIMILARITY = 0.8
+TABLES = 6
+MOST_APART = 0.15
+#: Texts that are compared by shingles at once; larger groups are dealt to several tasks.
+COMPARED = 512
+#: Shingles that are compared at once.
+CHUNK = 4096
 
 
 def _shingle_digests(text: str, width: int) -> bytes:
@@ -92,17 +109,17 @@ def fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return ids.mapInArrow(_fingerprint_partition(width), "doc_id long, fp long")
 
 
-def _cells(distinct: DataFrame) -> DataFrame:
-    """fp in the cell of each of its halves (own) and in the cells one step up in one segment."""
+def _cells(distinct: DataFrame, table: str = "0L", *more: str) -> DataFrame:
+    """fp, and more, in the cell of each of its halves (own) and in the cells one step up in one segment; each table has its own cells."""
     half = "shiftrightunsigned(fp, {}) & 4294967295L"
     counts = "({x} - (shiftright({x}, 1) & 1431655765L))"
-    rows = distinct.select("fp", F.posexplode(F.array(F.expr(half.format(0)), F.expr(half.format(32)))).alias("half", "x"))
-    rows = rows.select("fp", (F.expr(counts.format(x="x")) + F.col("half") * F.lit(1 << 32)).alias("cell"))
+    rows = distinct.select("fp", *more, F.expr(table).alias("t"), F.posexplode(F.array(F.expr(half.format(0)), F.expr(half.format(32)))).alias("half", "x"))
+    rows = rows.select("fp", *more, (F.expr(counts.format(x="x")) + (F.col("half") + 2 * F.col("t")) * F.lit(1 << 32)).alias("cell"))
     steps = F.expr(
         "concat(array(struct(cell, true AS own)), transform(filter(sequence(0, 15), i -> shiftright(cell, 2 * i) & 3L < 2),"
         " i -> struct(cell + shiftleft(1L, 2 * i) AS cell, false AS own)))"
     )
-    return rows.select("fp", F.explode(steps).alias("c")).select("c.cell", "c.own", "fp")
+    return rows.select("fp", *more, F.explode(steps).alias("c")).select("c.cell", "c.own", "fp", *more)
 
 
 def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
@@ -123,7 +140,9 @@ def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFra
 
 
 def _cell_links(rows: pd.DataFrame, max_bits: int) -> Iterator[pd.DataFrame]:
+    """a and b are ids where rows have them, and else the fingerprints; dense: whether a pair is part of a forest of its cell."""
     cell, own, fp = rows["cell"].to_numpy(), rows["own"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+    ids = rows["nid"].to_numpy() if "nid" in rows else fp.view(np.int64)
     if not len(cell):
         return
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -136,31 +155,34 @@ def _cell_links(rows: pd.DataFrame, max_bits: int) -> Iterator[pd.DataFrame]:
     while len(at := at[at + shift < left[at]]):
         near = np.bitwise_count(fp[at] ^ fp[at + shift]) <= max_bits
         if near.any():
-            yield pd.DataFrame({"a": fp[at[near]].view(np.int64), "b": fp[at[near] + shift].view(np.int64)})
+            yield pd.DataFrame({"a": ids[at[near]], "b": ids[at[near] + shift], "dense": False})
         shift += 1
     for k in np.flatnonzero(sizes > SMALL_CELL):
         s = slice(starts[k], starts[k] + sizes[k])
         if own[s].any():
-            yield _search(np.unique(fp[s]), max_bits)
+            distinct, first, inverse = np.unique(fp[s], return_index=True, return_inverse=True)
+            a, b = _search(distinct, max_bits)
+            chosen = ids[s][first]
+            a, b = np.concatenate([chosen[a], chosen[inverse]]), np.concatenate([chosen[b], ids[s]])
+            yield pd.DataFrame({"a": a[a != b], "b": b[a != b], "dense": True})
 
 
-def _search(rest: np.ndarray, max_bits: int) -> pd.DataFrame:
-    """A spanning forest of the links among distinct fingerprints, breadth-first."""
-    a, b, queue = [], [], []
+def _search(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints, breadth-first, as places."""
+    a, b, queue, rest = [], [], [], np.arange(len(prints))
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
             continue
         x = queue.pop()
-        near = np.bitwise_count(rest ^ x) <= max_bits
+        near = np.bitwise_count(prints[rest] ^ prints[x]) <= max_bits
         if near.any():
             found = rest[near]
             a.append(np.full(len(found), x))
             b.append(found)
             queue.extend(found)
             rest = rest[~near]
-    joined = [np.concatenate(v).view(np.int64) if v else np.zeros(0, np.int64) for v in (a, b)]
-    return pd.DataFrame({"a": joined[0], "b": joined[1]})
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -172,6 +194,119 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return cells.mapInPandas(lambda frames: _forest(_links(frames, max_bits)), "a long, b long")
 
 
+def word_fingerprints(texts: list[str], tables: int = TABLES) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of the words of each text, weighted by the square roots of their counts: (texts, tables)."""
+    import xxhash
+
+    counted = [Counter(t.encode("utf-8", "replace").lower().split()) for t in texts]
+    place = {w: i for i, w in enumerate(set().union(*counted))}
+    if not place:
+        return np.zeros((len(texts), tables), np.uint64)
+    digests = b"".join([b"".join([xxhash.xxh64_digest(w, SEED + 1 + t) for t in range(tables)]) for w in place])
+    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(place), -1), axis=1).astype(np.float32) * 2 - 1
+    out = np.zeros((len(texts), tables), np.uint64)
+    for i, counts in enumerate(counted):
+        if counts:
+            # Whole weights, so that sums are exact in any order.
+            weights = np.round(np.sqrt(np.fromiter(counts.values(), np.float32, len(counts))) * 16)
+            sums = weights @ signs[[place[w] for w in counts]]
+            out[i] = np.packbits(sums > 0).view(">u8")
+    return out
+
+
+def _word_print_partition(tables: int):
+    names = [f"p{t}" for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            prints = word_fingerprints(texts, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "h1", "h2"]).columns, *(pa.array(prints[:, t]) for t in range(tables))], ["doc_id", "h1", "h2", *names])
+
+    return run
+
+
+def candidates(nodes: DataFrame, tables: int = TABLES, max_bits: int = MAX_BITS, most_apart: float = MOST_APART) -> DataFrame:
+    """nodes: nid, p0, p1, ...  Pairs (a, b) of which the components hold all pairs within max_bits in some table and most_apart of all bits."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = nodes.select("nid", F.posexplode(F.array(*[f"p{t}" for t in range(tables)])).alias("t", "fp"))
+    cells = _cells(each, "t", "nid").repartition(n, "cell").sortWithinPartitions("cell", F.desc("own"))
+    met = cells.mapInPandas(lambda frames: _links(frames, max_bits), "a long, b long, dense boolean")
+    met = materialise(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("dense").alias("dense")), "met")
+    prints = [f"p{t}" for t in range(tables)]
+    loose = met.where("NOT dense")
+    for side, mark in (("a", "x"), ("b", "y")):
+        loose = loose.join(nodes.select(F.col("nid").alias(side), *[F.col(p).alias(mark + p) for p in prints]), side)
+    apart = sum((F.bit_count(F.col("x" + p).bitwiseXOR(F.col("y" + p))) for p in prints), F.lit(0))
+    return met.where("dense").select("a", "b").unionByName(loose.where(apart <= int(most_apart * 64 * tables)).select("a", "b"))
+
+
+def _shingles(width: int):
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        digests = [_shingle_digests(t or "", width) for t in texts.to_pylist()]
+        # Texts without words share one.
+        return pa.array([np.unique(np.frombuffer(d, ">i8").astype(np.int64)) if d else np.zeros(1, np.int64) for d in digests], pa.list_(pa.int64()))
+
+    return run
+
+
+def _shingled(rows: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    return rows["nid"].to_numpy(), [np.asarray(s) for s in rows["shingles"]]
+
+
+def _alike(similarity: float):
+    """A forest of the pairs of a group whose shingles have this Jaccard coefficient or more."""
+
+    def run(left: tuple, right: tuple) -> Iterator[pd.DataFrame]:
+        ids, sets = (left if left is right else (np.concatenate([left[0], right[0]]), left[1] + right[1]))
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        known, column = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(sets), len(sets)))
+        for first in range(0, len(known), CHUNK):
+            a, b = np.searchsorted(column, [first, first + CHUNK])
+            has = np.zeros((len(sets), min(CHUNK, len(known) - first)), np.float32)
+            has[owner[a:b], column[a:b] - first] = 1
+            shared += has @ has.T
+        near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+        np.fill_diagonal(near, False)
+        a, b = spanning(near)
+        yield pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return run
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, tables: int = TABLES) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id reachable over pairs of that Jaccard similarity of their shingles)."""
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    schema = "doc_id long, h1 long, h2 long, " + ", ".join(f"p{t} long" for t in range(tables))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(docs.sparkSession):
+        prints = materialise(hashed.mapInArrow(_word_print_partition(tables), schema), "word-prints")
+        own = [F.min(f"p{t}").alias(f"p{t}") for t in range(tables)]
+        nodes = prints.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), *own)
+        nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "word-nodes")
+        total = nodes.agg(F.sum("n")).first()[0] or 0
+        groups = components(candidates(nodes, tables))
+        members = materialise(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "nid"), "candidates")
+        sizes = members.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", blocks_of(F.col("size"), COMPARED))
+        of_text = nodes.select("nid", "h1", "h2").join(members, "nid")
+        maybe, _ = split(hashed.select("h1", "h2", "text"), F.col("h1"), of_text, F.col("h1"))
+        shingled = maybe.groupBy("h1", "h2").agg(F.first("text").alias("text")).select("h1", "h2", _shingles(width)(F.col("text")).alias("shingles"))
+        rows = sized(of_text.join(shingled, ["h1", "h2"]).drop("h1", "h2"), materialise(sizes, "candidate-sizes"), "component")
+        alike = dealt(rows, "component", ["shingles"], partitions).mapInPandas(compare_groups(_shingled, _alike(similarity)), "a long, b long")
+        alike = materialise(alike, "alike")
+    comp = components(alike).withColumnRenamed("node", "nid")
+    linked = nodes.select("nid", "h1", "h2", "n", "first_id").join(comp, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    linked = materialise(linked, "linked-texts")
+    ids = materialise(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("texts")), "text-components")
+    named = join_hot(linked, ids, ["component"], "texts", total, "inner").select("h1", "h2", "n", "component_id")
+    return join_hot(prints.select("doc_id", "h1", "h2"), materialise(named, "named-texts"), ["h1", "h2"], "n", total).select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id, group_size."""
     with small_batches(docs.sparkSession):
@@ -192,8 +327,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_B
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each component, with all its columns."""
-    found = near_duplicates(docs, width, max_bits)
+    """One document of each component of fingerprints, with all its columns."""
+    return _one_of_each(docs, near_duplicates(docs, width, max_bits))
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """One document of each component of similar texts, with all its columns."""
+    return _one_of_each(docs, similar(docs, similarity, width))
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids = materialise(
         found.groupBy("doc_id").agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"), F.count("*").alias("rows"), F.count_distinct("component_id").alias("kinds")),
         "near-ids",

@@ -274,7 +274,7 @@ def test_a_cluster_beyond_every_limit_is_whole(spark, monkeypatch):
     try:
         rng = np.random.default_rng(9)
         centre = rng.standard_normal(24)
-        rows = [(centre + 0.12 * rng.standard_normal(24)).tolist() for _ in range(300)] + [rng.standard_normal(24).tolist() for _ in range(50)]
+        rows = [(centre + 0.22 * rng.standard_normal(24)).tolist() for _ in range(300)] + [rng.standard_normal(24).tolist() for _ in range(50)]
         x = np.array(rows)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
@@ -381,3 +381,60 @@ def test_simhash_of_a_whole_table(spark):
     pairs = [(i, j) for i in range(len(order)) for j in range(i) if (prints[order[i]] ^ prints[order[j]]).bit_count() <= 3]
     roots = union_find(len(order), pairs)
     assert {r["doc_id"]: r["component_id"] for r in found} == {order[i]: order[roots[i]] for i in range(len(order))}
+
+
+def shingles(text, width=5):
+    words = lower(text).split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+def similar_roots(texts):
+    sets = [shingles(t) for t in texts]
+    return union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9])
+
+
+def edited_rows():
+    rng = random.Random(21)
+    vocabulary = [f"word{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    rows = []
+    for base in range(25):
+        words = rng.choices(vocabulary, k=rng.choice([60, 150, 400]))
+        for copy in range(5):
+            changed = list(words)
+            for _ in range(copy * len(words) // 150):
+                changed[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((base * 10 + copy + 1, " ".join(changed)))
+    return rows + [(500, ""), (501, None), (502, " \t"), (503, "one"), (504, "ONE  "), (505, "two words"), (506, "x " * 50_000), (507, "x " * 40_000), (508, "É é"), (509, "é é")]
+
+
+def test_similar_texts_against_brute_force(spark):
+    rows = edited_rows()
+    roots = similar_roots([t for _, t in rows])
+    expected = {rows[i][0]: rows[r][0] for i, r in enumerate(roots)}
+    docs = docs_of(spark, rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert len(set(expected.values())) < len(rows) - 60 and found == expected
+    kept = simhash.keep_dissimilar(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+    assert simhash.keep_dissimilar(docs.limit(0)).count() == 0
+
+
+def test_large_groups_of_similar_texts_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMPARED", 8)
+    monkeypatch.setattr(simhash, "SMALL_CELL", 8)
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        changed = list(words)
+        changed[rng.randrange(300)] = f"v{i}"
+        rows.append((i, " ".join(changed)))
+    found = simhash.similar(docs_of(spark, rows + [(900, "something else")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {**dict.fromkeys(range(90), 0), 900: 900}
+
+
+def test_word_fingerprints_do_not_depend_on_other_texts():
+    texts = [t or "" for _, t in edited_rows()[:40]] + ["", "a"]
+    together = simhash.word_fingerprints(texts, 3)
+    assert all((simhash.word_fingerprints([t], 3)[0] == p).all() for t, p in zip(texts, together, strict=True))

@@ -43,12 +43,10 @@ def test_each_stage_keeps_what_brute_force_keeps(stages):
         last[lower(t)] = max(i, last.get(lower(t), i))
     assert sorted(i for i, *_ in rows[2]) == sorted(last.values())
 
-    from test_llm_dedup import fingerprint, union_find
+    from test_llm_dedup import similar_roots
 
     docs = sorted(rows[2])
-    prints = [fingerprint(t) for _, t, _ in docs]
-    roots = union_find(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
-    assert sorted(i for i, *_ in rows[3]) == sorted(docs[r][0] for r in set(roots))
+    assert sorted(i for i, *_ in rows[3]) == sorted(docs[r][0] for r in set(similar_roots([t for _, t, _ in docs])))
 
     words = {}
     for _, t, s in rows[3]:
