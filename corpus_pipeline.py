@@ -22,7 +22,8 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are near copies."""
+    return simhash.keep_dissimilar(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
