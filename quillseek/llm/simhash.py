@@ -26,7 +26,6 @@ no more than BATCH_CHARS of other texts at once; an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillseek.llm import _ngrams
 from quillseek.llm._blocks import blocks_of, compare_groups, dealt, sized, spanning
 from quillseek.llm._graph import _forest, components
-from quillseek.llm._shared import columns_of, fresh, join_hot, materialise, slices, small_batches, split, without
+from quillseek.llm._shared import FILTER_BITS, columns_of, fresh, join_hot, materialise, slices, small_batches, split, without
 
 SHINGLE = 3
 SEED = 42
@@ -52,8 +52,8 @@ TABLES = 6
 MOST_APART = 0.15
 #: Texts that are compared by shingles at once; larger groups are dealt to several tasks.
 COMPARED = 512
-#: Shingles that are compared at once.
-CHUNK = 4096
+#: Words or shingles that are taken at once.
+CHUNK = 2048
 
 
 def _shingle_digests(text: str, width: int) -> bytes:
@@ -109,17 +109,17 @@ def fingerprint(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return ids.mapInArrow(_fingerprint_partition(width), "doc_id long, fp long")
 
 
-def _cells(distinct: DataFrame, table: str = "0L", *more: str) -> DataFrame:
-    """fp, and more, in the cell of each of its halves (own) and in the cells one step up in one segment; each table has its own cells."""
+def _cells(distinct: DataFrame) -> DataFrame:
+    """fp in the cell of each of its halves (own) and in the cells one step up in one segment."""
     half = "shiftrightunsigned(fp, {}) & 4294967295L"
     counts = "({x} - (shiftright({x}, 1) & 1431655765L))"
-    rows = distinct.select("fp", *more, F.expr(table).alias("t"), F.posexplode(F.array(F.expr(half.format(0)), F.expr(half.format(32)))).alias("half", "x"))
-    rows = rows.select("fp", *more, (F.expr(counts.format(x="x")) + (F.col("half") + 2 * F.col("t")) * F.lit(1 << 32)).alias("cell"))
+    rows = distinct.select("fp", F.posexplode(F.array(F.expr(half.format(0)), F.expr(half.format(32)))).alias("half", "x"))
+    rows = rows.select("fp", (F.expr(counts.format(x="x")) + F.col("half") * F.lit(1 << 32)).alias("cell"))
     steps = F.expr(
         "concat(array(struct(cell, true AS own)), transform(filter(sequence(0, 15), i -> shiftright(cell, 2 * i) & 3L < 2),"
         " i -> struct(cell + shiftleft(1L, 2 * i) AS cell, false AS own)))"
     )
-    return rows.select("fp", *more, F.explode(steps).alias("c")).select("c.cell", "c.own", "fp", *more)
+    return rows.select("fp", F.explode(steps).alias("c")).select("c.cell", "c.own", "fp")
 
 
 def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
@@ -196,22 +196,24 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def word_fingerprints(texts: list[str], tables: int = TABLES) -> np.ndarray:
     """Unsigned 64-bit fingerprints of the words of each text, weighted by the square roots of their counts: (texts, tables)."""
-    import xxhash
-
-    counted = [Counter(t.encode("utf-8", "replace").lower().split()) for t in texts]
-    place = {w: i for i, w in enumerate(set().union(*counted))}
-    if not place:
-        return np.zeros((len(texts), tables), np.uint64)
-    digests = b"".join([b"".join([xxhash.xxh64_digest(w, SEED + 1 + t) for t in range(tables)]) for w in place])
-    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(place), -1), axis=1).astype(np.float32) * 2 - 1
-    out = np.zeros((len(texts), tables), np.uint64)
-    for i, counts in enumerate(counted):
-        if counts:
-            # Whole weights, so that sums are exact in any order.
-            weights = np.round(np.sqrt(np.fromiter(counts.values(), np.float32, len(counts))) * 16)
-            sums = weights @ signs[[place[w] for w in counts]]
-            out[i] = np.packbits(sums > 0).view(">u8")
-    return out
+    words, counts = _ngrams.words(texts)
+    known, place = np.unique(words, return_inverse=True)
+    # Whole weights, so that sums are exact in any order.
+    pairs, times = np.unique(place * len(texts) + np.repeat(np.arange(len(texts)), counts), return_counts=True)
+    weights = np.round(np.sqrt(times) * 16).astype(np.float32)
+    sums = np.zeros((len(texts), 64 * tables), np.float32)
+    for first in range(0, len(known), CHUNK):
+        some = known[first : first + CHUNK]
+        a, b = np.searchsorted(pairs, [first * len(texts), (first + len(some)) * len(texts)])
+        of_text = np.zeros((len(texts), len(some)), np.float32)
+        of_text[pairs[a:b] % len(texts), pairs[a:b] // len(texts) - first] = weights[a:b]
+        with np.errstate(over="ignore"):
+            bits = np.stack([_ngrams.mix(some + np.uint64(SEED + 1 + t) * np.uint64(0x9E3779B97F4A7C15)) for t in range(tables)], axis=1)
+        signs = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
+        signs *= 2
+        signs -= 1
+        sums += of_text @ signs
+    return np.packbits(sums > 0, axis=1).view(">u8").astype(np.uint64)
 
 
 def _word_print_partition(tables: int):
@@ -225,11 +227,67 @@ def _word_print_partition(tables: int):
     return run
 
 
+def _cells_of(batch: pa.RecordBatch, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of a batch, (rows, tables), and the cells of their halves, (rows, tables, 2)."""
+    prints = np.stack([batch.column(f"p{t}").to_numpy().view(np.uint64) for t in range(tables)], axis=1)
+    halves = np.stack([prints & np.uint64(0xFFFFFFFF), prints >> np.uint64(32)], axis=2)
+    counts = halves - (halves >> np.uint64(1) & np.uint64(0x55555555))
+    return prints, counts + (np.arange(2 * tables, dtype=np.uint64) << np.uint64(32)).reshape(tables, 2)
+
+
+def _place_in_filter(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the filter that a cell is in and its bit."""
+    h = _ngrams.mix(cells)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
+
+
+def _own_cell_words(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                np.bitwise_or.at(bits, *_place_in_filter(np.unique(_cells_of(batch, tables)[1])))
+        words = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits[words].view(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def _occupied_cells(tables: int, occupied):
+    """Rows of `_cells`, without those of cells that the filter says aren't any row's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = occupied.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints, cells = _cells_of(batch, tables)
+            ids, fps = (np.broadcast_to(v[:, :, None], cells.shape) for v in (np.broadcast_to(batch.column("nid").to_numpy()[:, None], prints.shape), prints))
+            out = [(cells.ravel(), ids.ravel(), fps.ravel(), True)]
+            for i in range(16):
+                up = (cells >> np.uint64(2 * i) & np.uint64(3)) < 2
+                step = cells[up] + (np.uint64(1) << np.uint64(2 * i))
+                word, bit = _place_in_filter(step)
+                known = (filled[word] & bit) != 0
+                out.append((step[known], ids[up][known], fps[up][known], False))
+            own = np.concatenate([np.full(len(c), o) for c, _, _, o in out])
+            cell, nid, fp = (np.concatenate([row[k] for row in out]) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(own), pa.array(fp.view(np.int64)), pa.array(nid)], ["cell", "own", "fp", "nid"])
+
+    return run
+
+
 def candidates(nodes: DataFrame, tables: int = TABLES, max_bits: int = MAX_BITS, most_apart: float = MOST_APART) -> DataFrame:
     """nodes: nid, p0, p1, ...  Pairs (a, b) of which the components hold all pairs within max_bits in some table and most_apart of all bits."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = nodes.select("nid", F.posexplode(F.array(*[f"p{t}" for t in range(tables)])).alias("t", "fp"))
-    cells = _cells(each, "t", "nid").repartition(n, "cell").sortWithinPartitions("cell", F.desc("own"))
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt_nodes = nodes.select("nid", *[f"p{t}" for t in range(tables)]).repartition(n)
+    # A cell one step up matters only if it is some row's own: a filter of fixed size holds back nearly all others.
+    words = dealt_nodes.mapInArrow(_own_cell_words(tables), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    occupied = np.zeros(1 << FILTER_BITS, np.uint64)
+    occupied[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    cells = dealt_nodes.mapInArrow(_occupied_cells(tables, spark.sparkContext.broadcast(occupied)), "cell long, own boolean, fp long, nid long")
+    cells = cells.repartition(n, "cell").sortWithinPartitions("cell", F.desc("own"))
     met = cells.mapInPandas(lambda frames: _links(frames, max_bits), "a long, b long, dense boolean")
     met = materialise(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("dense").alias("dense")), "met")
     prints = [f"p{t}" for t in range(tables)]

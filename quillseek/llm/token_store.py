@@ -10,11 +10,13 @@ constant number of words on average and never scans keys.  A JSON footer with th
 
 Documents are range-partitioned and sorted by key; each task writes shards of at most SHARD_TOKENS ids (one document
 more at most), first under the name of its attempt and then renamed, so that a task that runs again replaces
-its files by the same ones.  The driver sees one small row per shard.
+its files by the same ones.  The driver sees one small row per shard, with its range of keys; `Store` finds a key's shard by
+those ranges and opens no other.
 
 Defined results: a null text is empty and has only the end id; null keys come first and can be listed but not
 looked up; rows that repeat a key are kept, ordered by a hash of their texts, and found under that key together;
-an empty table makes no shards and no rows; other columns are ignored.
+a very long text is one entry of one shard, which it may make larger than the others; an empty table makes no shards and no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,9 @@ from quillseek.llm._tokens import batches, encoder
 MAGIC = b"QSTOKEN1"
 SHARD_TOKENS = 16_000_000
 #: What a task says about its shards.
-MANIFEST = {"partition": pa.int32(), "part": pa.int32(), "path": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}
+MANIFEST = {"partition": pa.int32(), "part": pa.int32(), "path": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "first_key": pa.int64(), "last_key": pa.int64()}
+#: Shards whose index one store keeps open.
+OPEN_SHARDS = 64
 MAX_LEVELS = 64
 _ONE = np.uint64(1)
 
@@ -116,6 +121,10 @@ class ShardWriter:
         self.lengths.append(len(ids))
         self.tokens += len(ids)
 
+    def key_range(self) -> tuple[int | None, int | None]:
+        keys = self.keys[self.n_null :]
+        return (keys[0], keys[-1]) if keys else (None, None)
+
     def close(self) -> None:
         at = len(MAGIC) + self.tokens * np.dtype(self.id_type).itemsize
         keys = np.array(self.keys, "<i8")
@@ -187,6 +196,32 @@ class Shard:
         return [self.ids(e) for e in range(first, first + count)]
 
 
+class Store:
+    """Keyed access to all shards, from their paths and ranges of keys."""
+
+    def __init__(self, shards: list[tuple[str, int | None, int | None]]):
+        known = sorted((first, last, path) for path, first, last in shards if first is not None)
+        self.firsts, self.lasts, self.paths = ([row[k] for row in known] for k in range(3))
+        self._open: dict[str, Shard] = {}
+
+    @classmethod
+    def of(cls, shards: DataFrame) -> Store:
+        """From what `write` returned: one row per shard."""
+        return cls([tuple(r) for r in shards.select("path", "first_key", "last_key").collect()])
+
+    def shard(self, path: str) -> Shard:
+        if path not in self._open:
+            while len(self._open) >= OPEN_SHARDS:
+                self._open.pop(next(iter(self._open))).file.close()
+            self._open[path] = Shard(path)
+        return self._open[path]
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of all entries with a key; entries with one key may lie in several neighbouring shards."""
+        a, b = bisect_left(self.lasts, key), bisect_right(self.firsts, key)
+        return [ids for path in self.paths[a:b] for ids in self.shard(path).get(key)]
+
+
 def _write_partition(vocabulary: str, end_id: int, folder: str, shard_tokens: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get()
@@ -204,11 +239,11 @@ def _write_partition(vocabulary: str, end_id: int, folder: str, shard_tokens: in
                     writer.add(keys[i], np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
                     if writer.tokens >= shard_tokens:
                         writer.close()
-                        written.append((task.partitionId(), k, f"{folder}/{name}", len(writer.keys), writer.tokens))
+                        written.append((task.partitionId(), k, f"{folder}/{name}", len(writer.keys), writer.tokens, *writer.key_range()))
                         writer, k = None, k + 1
         if writer is not None:
             writer.close()
-            written.append((task.partitionId(), k, f"{folder}/{name}", len(writer.keys), writer.tokens))
+            written.append((task.partitionId(), k, f"{folder}/{name}", len(writer.keys), writer.tokens, *writer.key_range()))
         columns = list(zip(*written, strict=True)) or [()] * len(MANIFEST)
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, MANIFEST.values(), strict=True)], list(MANIFEST))
 
@@ -216,7 +251,7 @@ def _write_partition(vocabulary: str, end_id: int, folder: str, shard_tokens: in
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> DataFrame:
-    """Write docs (doc_id, text) as shards below folder; return path, n_docs, n_tokens and start of each, in key order."""
+    """Write docs (doc_id, text) as shards below folder; return path, n_docs, n_tokens, start, first_key and last_key of each, in key order."""
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_docs = (
@@ -225,14 +260,14 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, shard_
         .sortWithinPartitions("doc_id", "_tie")
         .select("doc_id", "text")
     )
-    schema = "partition int, part int, path string, n_docs long, n_tokens long"
+    schema = "partition int, part int, path string, n_docs long, n_tokens long, first_key long, last_key long"
     with small_batches(spark):
-        shards = sorted(sorted_docs.mapInArrow(_write_partition(vocabulary, end_id, folder, shard_tokens), schema).collect())
+        shards = sorted(sorted_docs.mapInArrow(_write_partition(vocabulary, end_id, folder, shard_tokens), schema).collect(), key=lambda r: r[:2])
     rows, start = [], 0
     for s in shards:
-        rows.append((s.path, s.n_docs, s.n_tokens, start))
+        rows.append((s.path, s.n_docs, s.n_tokens, start, s.first_key, s.last_key))
         start += s.n_tokens
-    return spark.createDataFrame(rows, "path string, n_docs long, n_tokens long, start long")
+    return spark.createDataFrame(rows, "path string, n_docs long, n_tokens long, start long, first_key long, last_key long")
 
 
 def _read_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

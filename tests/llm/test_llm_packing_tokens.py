@@ -188,6 +188,20 @@ def test_shards_are_small_and_keyed(spark, plain, tmp_path):
     assert not [p for p in tmp_path.iterdir() if p.name.count(".")]
 
 
+def test_store_opens_only_the_shard_of_a_key(spark, plain, tmp_path, monkeypatch):
+    docs = [(7 * i, f"text number {i} " * (i % 5), "en", "s", 0) for i in range(100)] + [(350, f"again {k} " * 20, "en", "s", 0) for k in range(30)] + [(None, "none", "en", "s", 0)]
+    shards = token_store.write(spark.createDataFrame(docs, SCHEMA), VOCABULARY, str(tmp_path), 0, shard_tokens=200, partitions=3)
+    store = token_store.Store.of(shards)
+    opened, shard = [], token_store.Shard
+    monkeypatch.setattr(token_store, "Shard", lambda path: opened.append(path) or shard(path))
+    assert [ids.tolist() for ids in store.get(21)] == [plain(docs[3][1]) + [0]] and len(opened) == 1
+    assert store.get(22) == [] and store.get(-5) == [] and store.get(10**9) == [] and len(opened) <= 2
+    many = store.get(350)
+    assert sorted(ids.tolist() for ids in many) == sorted(plain(t) + [0] for i, t, *_ in docs if i == 350) and len(many) == 31
+    monkeypatch.setattr(token_store, "OPEN_SHARDS", 2)
+    assert all(store.get(d[0]) for d in docs if d[0] is not None) and len(store._open) <= 2
+
+
 def test_perfect_hash_is_minimal():
     for n in (0, 1, 2, 63, 1000, 20_000):
         keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)

@@ -72,7 +72,7 @@ def test_the_rest_stands_alone(tmp_path):
         "class No(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name == 'corpus_pipeline' or name.startswith('quillseek.llm'):\n"
-        "            raise ImportError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, No())\n"
         "import __spark_entry__ as e\n"
         "names = list(e.queries())\n"
