@@ -16,7 +16,7 @@ TRIMMED = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3
 WORD_BREAKS = "\\t-\\r \\u00a0"
 #: Letters that have no canonical decomposition and their plain forms.
 PLAIN = {"ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i", "ß": "ss"}
-#: The default token: letters, marks, numbers and underscores.
+#: Fixed value: the default token, letters, marks, numbers and underscores.
 TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 
 _BLANK = re.compile(f"[{TRIMMED}]*")

@@ -7,6 +7,7 @@ from quillseek.functions.text import fold
 from quillseek.operators.terms import Term
 from quillseek.options import Options
 
+#: Fixed values, here and in the messages below: the names of operators and the reasons given for wrong queries.
 AND, OR, NOT = "$and", "$or", "$not"
 KINDS = {"$fuzzy": "fuzzy", "$eq": "exact", "$contains": "include", "$startsWith": "prefix", "$endsWith": "suffix"}
 NEGATED = {"$contains": "not_include", "$startsWith": "not_prefix", "$endsWith": "not_suffix"}

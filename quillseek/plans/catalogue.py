@@ -545,11 +545,12 @@ def _errors() -> None:
     add("errors", table(cases), f'SELECT * FROM (VALUES {values}) AS t("case", message)')
 
     def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parsed = parse_query({"n_name": "x", "$or": [{"n_name": "!y"}, {"$path": ["a", "b"], "$val": "^z"}]})
+        parsed = parse_query({"$and": [{"n_name": "x", "other": "!w"}, {"$or": [{"n_name": "!y"}, {"$path": ["a", "b"], "$val": "^z"}]}]})
         return spark.createDataFrame([(json.dumps(parsed, sort_keys=True),)], "tree string")
 
-    inner = '{"children": [{"keyId": "n_name", "pattern": "!y"}, {"keyId": "a.b", "pattern": "^z"}], "operator": "$or"}'
-    add("parse_query", tree, f"""SELECT '{{"children": [{{"keyId": "n_name", "pattern": "x"}}, {inner}], "operator": "$and"}}' AS tree""")
+    both = '{"children": [{"keyId": "n_name", "pattern": "x"}, {"keyId": "other", "pattern": "!w"}], "operator": "$and"}'
+    either = '{"children": [{"keyId": "n_name", "pattern": "!y"}, {"keyId": "a.b", "pattern": "^z"}], "operator": "$or"}'
+    add("parse_query", tree, f"""SELECT '{{"children": [{both}, {either}], "operator": "$and"}}' AS tree""")
 
     def nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = docs(spark, sf_dir, "nation").select(ORDINAL, "n_name")

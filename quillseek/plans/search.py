@@ -156,7 +156,7 @@ class Collection:
         if not parts:
             raise ValueError("no query has a text to search for")
 
-        def can_match(scopes: dict[int, Column]) -> Column | None:
+        def can_match(scopes: dict[int, Sequence[int]]) -> Column | None:
             return _any_of([self._some_text(p.searcher, scopes[0]) for p in parts])
 
         rows = self._with_hits(self.index, parts, can_match)
@@ -248,7 +248,7 @@ class Collection:
 
         parts_left = iter(parts)
 
-        def can_match(scopes: dict[int, Column]) -> Column | None:
+        def can_match(scopes: dict[int, Sequence[int]]) -> Column | None:
             def one(_: logical.Leaf) -> Column | None:
                 part = next(parts_left)
                 return self._some_text(part.searcher, scopes[part.scope])
@@ -295,30 +295,31 @@ class Collection:
         condition = condition_of(plain) if any(c is not None for c in plain) else None
         return self.index if condition is None else self.index.where(condition)
 
-    def _some_text(self, searcher: Searcher, texts: Column) -> Column | None:
-        """Whether an array of folded texts has one that the searcher may match; None if that can't be said."""
+    def _some_text(self, searcher: Searcher, keys: Sequence[int]) -> Column | None:
+        """Whether one of the keys has a text that the searcher may match; None if that can't be said."""
         if searcher.holds(F.lit("")) is None:
             return None
-        return F.exists(texts, lambda x: F.coalesce(searcher.holds(x), F.lit(False)))
+        folded = (lambda x: x["v"]) if self.options.is_case_sensitive else (lambda x: F.lower(x["v"]))
+        return _any_of([F.exists(f"k{i}", lambda x: F.coalesce(searcher.holds(folded(x)), F.lit(False))) for i in keys])
 
-    def _with_hits(self, index: Index, parts: Sequence[_Part], can_match: Callable[[dict[int, Column]], Column | None] | None = None) -> DataFrame:
-        """The records, of those of which `can_match` says so from the texts of each scope, with the texts of each scope (t0, t1, ...: v, i, n and the key's number), the same as they are compared (g0, ...)
+    def _with_hits(self, index: Index, parts: Sequence[_Part], can_match: Callable[[dict[int, Sequence[int]]], Column | None] | None = None) -> DataFrame:
+        """The records, of those of which `can_match` says so from the keys of each scope, with the texts of each scope (t0, t1, ...: v, i, n and the key's number), the same as they are compared (g0, ...)
         and the kernel's hits (h)."""
         scopes = {p.scope: p.key for p in parts}
-        texts = []
+        texts, keys_of = [], {}
         for scope, key in scopes.items():
-            own = range(index.width) if key is None else [key] if key >= 0 else []
+            own = keys_of[scope] = range(index.width) if key is None else [key] if key >= 0 else []
             each = [f"transform(k{i}, x -> struct(x.v AS v, x.i AS i, x.n AS n, {i} AS key))" for i in own]
             all_texts = f"concat({', '.join(each)})" if each else "cast(array() AS array<struct<v: string, i: int, n: double, key: int>>)"
             texts.append(F.expr(all_texts).alias(f"t{scope}"))
-        rows = index.records().select("item", ORDINAL, *texts)
+        records, specs = index.records(), {c: [spec for p in parts if p.scope == c for spec in p.searcher.fuzzy] for c in scopes}
+        if can_match is not None and any(specs.values()) and not self.options.ignore_diacritics:  # folding would run in Python twice
+            condition = can_match(keys_of)
+            records = records if condition is None else records.where(condition)
+        rows = records.select("item", ORDINAL, *texts)
         rows = rows.select("*", *[folded_texts(F.col(f"t{c}"), self.options).alias(f"g{c}") for c in scopes])
-        specs = {c: [spec for p in parts if p.scope == c for spec in p.searcher.fuzzy] for c in scopes}
         if not any(specs.values()):
             return rows
-        if can_match is not None and not self.options.ignore_diacritics:  # folding would run in Python twice
-            condition = can_match({c: F.col(f"g{c}") for c in scopes})
-            rows = rows if condition is None else rows.where(condition)
         reach = {c: reach_of(own) for c, own in specs.items()}
         shown = [F.col(f"g{c}") if r is None else F.expr(f"transform(g{c}, x -> substring(x, 1, {r}))") for c, r in reach.items()]
         return _spread(rows).withColumn("h", kernel(list(specs.values()))(*shown))

@@ -165,6 +165,18 @@ def plain_column(df: DataFrame, key: Key) -> Column | None:
     return None
 
 
+def _single(df: DataFrame, key: Key) -> Column | None:
+    """The text of a path through structs to a scalar; None for other paths."""
+    parts, kind = key.parts, df.schema
+    value = None
+    for name in parts:
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return None
+        value = F.col(f"`{name}`") if value is None else value.getField(name)
+        kind = kind[name].dataType
+    return None if isinstance(kind, T.ArrayType) else _scalar(value, kind, False)
+
+
 def texts_of(df: DataFrame, key: Key, field_norm_weight: float = 1.0, get=None) -> Column:
     """The key's texts in each row of df, blank ones left out."""
     expr = key.expr
@@ -182,6 +194,10 @@ def texts_of(df: DataFrame, key: Key, field_norm_weight: float = 1.0, get=None)
             pairs = _one(expr, None)
         else:
             pairs = _empty()
+    elif (text := _single(df, key)) is not None:
+        # One text a row needs no functions over arrays, which aren't compiled.
+        one = F.array(F.struct(text.alias("v"), F.lit(None).cast("int").alias("i"), tx.length_norm(text, field_norm_weight).alias("n")))
+        return F.when(text.isNotNull() & tx.not_blank(text), one).otherwise(F.expr(f"cast(array() AS {TEXTS})"))
     else:
         whole = F.struct(*[F.col(f"`{key.parts[0]}`")]) if key.parts[0] in df.columns else None
         kind = T.StructType([f for f in df.schema.fields if f.name == key.parts[0]])
