@@ -41,10 +41,15 @@ def whole_text(pattern: str, text: str, threshold: float) -> str:
     m = len(pattern)
     k = max(e for e in range(m) if e / m <= threshold)
     pieces = [pattern[m * i // (k + 1) : m * (i + 1) // (k + 1)] for i in range(k + 1)]
-    near = " OR ".join(f"contains(substr({text}, p, {m + k}), {quoted(x)})" for x in pieces)
-    inner = f"list_min([{', '.join(f'levenshtein({quoted(pattern)}, substr({text}, p, {n}))' for n in range(m - k, m + k + 1))}])"
-    d = f"list_min(list_transform(list_filter(range(1, len({text}) + 1), lambda p: {near}), lambda p: {inner}))"
-    return f"(SELECT CASE WHEN {text} = {quoted(pattern)} THEN 0.0::DOUBLE WHEN d <= {k} THEN greatest(0.001, d / {m}::DOUBLE) END FROM (SELECT {d} AS d))"
+    # Stretches of a text that overlap by all that a match can span; places are cheap to reach in them.
+    stretches = f"list_transform(range(1, len(s) + 1), lambda i: s[i] || coalesce(substr(s[i + 1], 1, {m + k - 1}), ''))"
+    some = " OR ".join(f"contains(c, {quoted(x)})" for x in pieces)
+    near = " OR ".join(f"contains(substr(c, p, {m + k}), {quoted(x)})" for x in pieces)
+    inner = f"list_min([{', '.join(f'levenshtein({quoted(pattern)}, substr(c, p, {n}))' for n in range(m - k, m + k + 1))}])"
+    best = f"list_min(list_transform(list_filter(range(1, len(c) + 1), lambda p: {near}), lambda p: {inner}))"
+    d = f"list_min(list_transform(list_filter({stretches}, lambda c: {some}), lambda c: {best}))"
+    found = f"CASE WHEN {text} = {quoted(pattern)} THEN 0.0::DOUBLE WHEN d <= {k} THEN greatest(0.001, d / {m}::DOUBLE) END"
+    return f"(SELECT {found} FROM (SELECT {d} AS d FROM (SELECT regexp_extract_all({text}, '(?s).{{1,200}}') AS s)))"
 
 
 def marked(pattern: str, text: str, least: int) -> str:
