@@ -319,7 +319,11 @@ def _alike(similarity: float):
         ids, sets = (left if left is right else (np.concatenate([left[0], right[0]]), left[1] + right[1]))
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         owner = np.repeat(np.arange(len(sets)), sizes)
-        known, column = np.unique(np.concatenate(sets), return_inverse=True)
+        known, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # Shingles of one text alone are in no intersection.
+        several = times > 1
+        inside = several[column]
+        owner, column, known = owner[inside], (np.cumsum(several) - 1)[column[inside]], known[several]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         shared = np.zeros((len(sets), len(sets)))
