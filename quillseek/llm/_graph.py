@@ -2,7 +2,8 @@
 
 Every task first replaces its edges by a spanning forest (union-find over the edges that it has read), which bounds
 what moves by the number of nodes that a task has seen.  Then rounds of the large-star and small-star steps run on
-DataFrames; each round ends in a table below the shared folder.  Minima are combined in each task before they move,
+DataFrames; each round ends in a table below the shared folder.  No rounds are needed once so few edges are left that one task's
+forest is that of all of them.  Minima are combined in each task before they move,
 and neighbours are joined to their minimum with the hubs, of which there is a bounded number, on the side.
 """
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from quillseek.llm._shared import forget, join_hot, materialise
 
 
+#: Edges, at most, of which one task makes the last forest.
+LAST_EDGES = 200_000
+
+
 def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parent: dict = {}
 
@@ -69,6 +74,8 @@ def components(edges: DataFrame, max_rounds: int = 60, contracted: bool = False)
         n, check = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not n:
             break
+        if n <= LAST_EDGES:
+            return materialise(contract(now.coalesce(1)), "components").select(F.col("a").alias("node"), F.col("b").alias("component"))
         # A forest of stars has no node on both sides.
         large = materialise(_star(now, True), "edges")
         after = materialise(_star(large, False), "edges")

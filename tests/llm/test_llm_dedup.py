@@ -36,8 +36,10 @@ def union_find(n, pairs):
     return [find(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("last", [0, 30, 200_000])
 @pytest.mark.parametrize("shape", ["chain", "star", "cycle", "random", "one", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, last):
+    monkeypatch.setattr(_graph, "LAST_EDGES", last)
     random.seed(3)
     pairs = {
         "chain": [(i, i + 1) for i in range(60)],
