@@ -253,6 +253,23 @@ def _own_cell_words(tables: int):
     return run
 
 
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All words of a partition as one row of two byte strings: the driver would take a million rows as as many Python objects."""
+    held = [(batch.column("word").to_numpy(), batch.column("bits").to_numpy()) for batch in batches if batch.num_rows]
+    if held:
+        words, bits = (np.concatenate(v).tobytes() for v in zip(*held, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), pa.array([bits], pa.binary())], ["words", "bits"])
+
+
+def _occupied(nodes: DataFrame, tables: int) -> np.ndarray:
+    """The filter of all rows' own cells, 2^FILTER_BITS words."""
+    words = nodes.mapInArrow(_own_cell_words(tables), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    occupied = np.zeros(1 << FILTER_BITS, np.uint64)
+    for row in words.mapInArrow(_packed_words, "words binary, bits binary").collect():
+        occupied[np.frombuffer(row["words"], np.int32)] = np.frombuffer(row["bits"], np.uint64)
+    return occupied
+
+
 def _occupied_cells(tables: int, occupied):
     """Rows of `_cells`, without those of cells that the filter says aren't any row's own."""
 
@@ -283,10 +300,8 @@ def candidates(nodes: DataFrame, tables: int = TABLES, max_bits: int = MAX_BITS,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt_nodes = nodes.select("nid", *[f"p{t}" for t in range(tables)]).repartition(n)
     # A cell one step up matters only if it is some row's own: a filter of fixed size holds back nearly all others.
-    words = dealt_nodes.mapInArrow(_own_cell_words(tables), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    occupied = np.zeros(1 << FILTER_BITS, np.uint64)
-    occupied[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    cells = dealt_nodes.mapInArrow(_occupied_cells(tables, spark.sparkContext.broadcast(occupied)), "cell long, own boolean, fp long, nid long")
+    occupied = spark.sparkContext.broadcast(_occupied(dealt_nodes, tables))
+    cells = dealt_nodes.mapInArrow(_occupied_cells(tables, occupied), "cell long, own boolean, fp long, nid long")
     cells = cells.repartition(n, "cell").sortWithinPartitions("cell", F.desc("own"))
     met = cells.mapInPandas(lambda frames: _links(frames, max_bits), "a long, b long, dense boolean")
     met = materialise(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("dense").alias("dense")), "met")

@@ -440,3 +440,36 @@ def test_word_fingerprints_do_not_depend_on_other_texts():
     texts = [t or "" for _, t in edited_rows()[:40]] + ["", "a"]
     together = simhash.word_fingerprints(texts, 3)
     assert all((simhash.word_fingerprints([t], 3)[0] == p).all() for t, p in zip(texts, together, strict=True))
+
+
+def test_the_filter_of_cells_comes_as_few_rows(spark, monkeypatch):
+    """The driver gets at most one row of a partition, not one of each word that is set."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(1 << 63), (1 << 63) - 1, (3000, 2))
+    nodes = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(prints)], "nid long, p0 long, p1 long")
+    got = []
+    for name in ("collect", "toPandas"):
+        plain = getattr(type(nodes), name)
+
+        def counted(self, plain=plain):
+            out = plain(self)
+            got.append(len(out))
+            return out
+
+        monkeypatch.setattr(type(nodes), name, counted)
+    pairs = simhash.candidates(nodes, 2)
+    assert sum(got) <= 4
+    assert simhash.candidates(nodes.limit(0), 2).count() == 0
+
+    occupied = simhash._occupied(nodes, 2)
+    expected = np.zeros_like(occupied)
+    for p in prints.astype(np.int64).view(np.uint64):
+        for table, x in enumerate(p.tolist()):
+            for half in range(2):
+                y = x >> 32 * half & 0xFFFFFFFF
+                cell = y - (y >> 1 & 0x55555555) + (2 * table + half << 32)
+                word, bit = simhash._place_in_filter(np.array([cell], np.uint64))
+                expected[word] |= bit
+    assert (occupied == expected).all()
+    near = nodes.unionByName(nodes.limit(50).selectExpr("nid + 10000 AS nid", "p0 ^ 7 AS p0", "p1"))
+    assert {(r["a"], r["b"]) for r in simhash.candidates(near, 2).collect()} == {(i, i + 10000) for i in range(50)} | {(r["a"], r["b"]) for r in pairs.collect()}
